@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .staging import stage
+
 # Rows a lookup may have to be broadcast. A lookup row is a few hundred bytes.
 BROADCAST_ROWS = 100_000
 
@@ -25,11 +27,12 @@ def attach(
 ) -> DataFrame:
     """Join a derived lookup table to a large one.
 
-    The lookup's size is checked first. A small one is broadcast, so the large
-    side is not shuffled and a hot key costs nothing. A larger one goes through
-    a sort-merge join without hint, where AQE splits skewed partitions of the
-    large side.
+    The lookup is computed once and its size checked. A small one is broadcast,
+    so the large side is not shuffled and a hot key costs nothing. A larger one
+    goes through a sort-merge join without hint, where AQE splits skewed
+    partitions of the large side.
     """
+    dim = stage(dim)
     if small_enough(dim, max_rows):
         dim = F.broadcast(dim)
     return fact.join(dim, list(on), how)

@@ -241,7 +241,7 @@ def roll_up(parts: DataFrame, keys: Sequence[str], metrics: Sequence[Metric]) ->
     """Additive metrics at a coarser grain, without going back to the rows."""
     states = States(metrics)
     wide = (
-        parts.groupBy(key_struct(keys)).agg(*states.merge()).select("g", *states.finals())
+        parts.groupBy(key_struct(keys)).agg(*states.merge()).select("_g", *states.finals())
     )
     return _publish(_derive(wide, metrics), keys, metrics)
 
@@ -263,14 +263,14 @@ def aggregate(
         base = df.groupBy(key_struct(keys)).agg(*states.first_pass() or [F.count("*").alias("s")])
     else:
         base = parts.groupBy(key_struct(keys)).agg(*states.merge())
-    wide = base.select("g", *states.finals())
+    wide = base.select("_g", *states.finals())
     # Metrics over the same value share one pass: a list and a distinct count
     # both start from the distinct (group, value) pairs.
     for m in metrics:
         if m.kind == "distinct":
-            wide = wide.join(_distinct(df, keys, m), "g", "left")
+            wide = wide.join(_distinct(df, keys, m), "_g", "left")
         elif m.kind == "list":
-            wide = wide.join(_list(df, keys, m), "g", "left")
+            wide = wide.join(_list(df, keys, m), "_g", "left")
     for interpolation in (NEAREST, LINEAR):
         wanted = {
             m.name: (F.expr(m.measured), m.q)
@@ -279,7 +279,7 @@ def aggregate(
         }
         if wanted:
             found = grouped_quantiles(df, keys, wanted, interpolation)
-            wide = wide.join(found, "g", "left")
+            wide = wide.join(found, "_g", "left")
     return _publish(_derive(wide, metrics), keys, metrics)
 
 
@@ -291,7 +291,7 @@ def _distinct(df: DataFrame, keys: Sequence[str], m: Metric) -> DataFrame:
     return (
         df.select(key_struct(keys), F.expr(m.measured).alias("d"))
         .distinct()
-        .groupBy("g")
+        .groupBy("_g")
         .agg(values.alias(m.name))
     )
 
@@ -300,7 +300,7 @@ def _list(df: DataFrame, keys: Sequence[str], m: Metric) -> DataFrame:
     return (
         df.select(key_struct(keys), F.expr(m.measured).alias("d"))
         .distinct()
-        .groupBy("g")
+        .groupBy("_g")
         .agg(F.array_join(F.sort_array(F.collect_list("d")), m.sep).alias(m.name))
     )
 

@@ -14,9 +14,9 @@ cut every group into value buckets first:
 4. rows join their bucket's offset on (group, bucket), and only a bucket is ever
    sorted, about 1/SPLITTERS of the compacted rows.
 
-Groups are carried as one struct column ``g``: struct equality treats NULL
-fields as equal, so NULL keys form groups as in SQL and joins on ``g`` reuse the
-partitioning of aggregations on ``g``.
+Groups are carried as one struct column ``_g``: struct equality treats NULL
+fields as equal, so NULL keys form groups as in SQL and joins on ``_g`` reuse the
+partitioning of aggregations on ``_g``.
 """
 
 from __future__ import annotations
@@ -29,17 +29,17 @@ from pyspark.sql import functions as F
 
 SPLITTERS = 1024
 ROWS_PER_SPLITTER = 4096
-_KEY = ["g", "metric", "bucket"]
+_KEY = ["_g", "metric", "bucket"]
 
 
-def key_struct(cols: Sequence[str], name: str = "g") -> Column:
+def key_struct(cols: Sequence[str], name: str = "_g") -> Column:
     """Keys packed into one struct; a constant when there are no keys."""
     if not cols:
         return F.struct(F.lit(0).alias("_all")).alias(name)
     return F.struct(*[F.col(c).alias(c) for c in cols]).alias(name)
 
 
-def unpack(cols: Sequence[str], name: str = "g") -> list[Column]:
+def unpack(cols: Sequence[str], name: str = "_g") -> list[Column]:
     return [F.col(f"{name}.`{c}`").alias(c) for c in cols]
 
 
@@ -57,7 +57,7 @@ def long_values(
         ]
     )
     return df.select(key_struct(group), *extra, F.explode(pairs).alias("p")).select(
-        "g",
+        "_g",
         *[F.col(_alias(c)) for c in extra],
         F.col("p.metric").alias("metric"),
         F.col("p.value").alias("value"),
@@ -72,8 +72,8 @@ def _alias(c: Column) -> str:
 class Ordered:
     """Compacted rows with buckets, and the running totals of the buckets."""
 
-    rows: DataFrame  # g, metric, bucket, value, cnt
-    buckets: DataFrame  # g, metric, bucket, held, offset, n, n_all
+    rows: DataFrame  # _g, metric, bucket, value, cnt
+    buckets: DataFrame  # _g, metric, bucket, held, offset, n, n_all, top
 
     def ranks(self) -> DataFrame:
         """One row per distinct value: g, metric, value, cnt, below, n, n_all.
@@ -84,6 +84,10 @@ class Ordered:
         joined = self.rows.join(self.buckets.drop("held"), _KEY)
         return _with_below(joined).drop("bucket", "offset")
 
+    def with_buckets(self, buckets: DataFrame) -> Ordered:
+        """The same rows under buckets that carry more columns."""
+        return Ordered(self.rows, buckets)
+
     def average_rank(self) -> DataFrame:
         r = self.ranks()
         return r.withColumn(
@@ -108,7 +112,7 @@ class Ordered:
             lambda r: (r >= F.col("below")) & (r < F.col("below") + F.col("cnt")),
         )
         return _with_below(self.rows.join(targets, _KEY)).select(
-            "g", "metric", "n", *carry, F.explode(hit).alias("rank"), "value"
+            "_g", "metric", "n", *carry, F.explode(hit).alias("rank"), "value"
         )
 
 
@@ -126,7 +130,7 @@ def _with_below(joined: DataFrame) -> DataFrame:
 
 def compact(long: DataFrame) -> DataFrame:
     """Count equal (g, metric, value) rows together."""
-    return long.groupBy("g", "metric", "value").agg(F.count("*").alias("cnt"))
+    return long.groupBy("_g", "metric", "value").agg(F.count("*").alias("cnt"))
 
 
 def ordered(long: DataFrame, splitters: int = SPLITTERS) -> Ordered:
@@ -135,7 +139,7 @@ def ordered(long: DataFrame, splitters: int = SPLITTERS) -> Ordered:
     # The hash takes cnt in, so that the sample needs the same columns as the
     # rows themselves and Spark runs the compaction once for both.
     sampled = F.when(
-        F.col("value").isNotNull(), F.xxhash64("g", "metric", "value", "cnt")
+        F.col("value").isNotNull(), F.xxhash64("_g", "metric", "value", "cnt")
     )
     sample = (
         rows.select("metric", "value", sampled.alias("h"))
@@ -161,7 +165,7 @@ def ordered(long: DataFrame, splitters: int = SPLITTERS) -> Ordered:
         ).otherwise(at),
     )
     rows = rows.join(F.broadcast(edges), "metric", "left").select(
-        "g",
+        "_g",
         "metric",
         F.coalesce(
             F.when(F.col("value").isNull(), -1)
@@ -172,8 +176,8 @@ def ordered(long: DataFrame, splitters: int = SPLITTERS) -> Ordered:
         "value",
         "cnt",
     )
-    held = rows.groupBy(*_KEY).agg(F.sum("cnt").alias("held"))
-    group = Window.partitionBy("g", "metric")
+    held = rows.groupBy(*_KEY).agg(F.sum("cnt").alias("held"), F.max("value").alias("_top"))
+    group = Window.partitionBy("_g", "metric")
     present = F.when(F.col("bucket") >= 0, F.col("held")).otherwise(F.lit(0))
     running = group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = held.select(
@@ -182,6 +186,7 @@ def ordered(long: DataFrame, splitters: int = SPLITTERS) -> Ordered:
         F.coalesce(F.sum(present).over(running), F.lit(0)).alias("offset"),
         F.sum(present).over(group).alias("n"),
         F.sum("held").over(group).alias("n_all"),
+        F.max("_top").over(group).alias("top"),
     )
     return Ordered(rows, buckets)
 
@@ -224,7 +229,7 @@ def quantile_points(
     # At most two entries per wanted quantile and group.
     found = (
         data.at_ranks(ranks)
-        .groupBy("g", "metric", "n")
+        .groupBy("_g", "metric", "n")
         .agg(F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("at"))
     )
 
@@ -235,7 +240,7 @@ def quantile_points(
         high = F.try_element_at("at", F.ceil(place(q)).cast("bigint"))
         return low + (high - low) * (place(q) - F.floor(place(q)))
 
-    return found.select("g", "metric", "n", F.transform(qs, read).alias("q"))
+    return found.select("_g", "metric", "n", F.transform(qs, read).alias("q"))
 
 
 def grouped_quantiles(
@@ -251,7 +256,7 @@ def grouped_quantiles(
         {n: [q] for n, (_, q) in specs.items()},
         interpolation,
     )
-    return points.groupBy("g").agg(
+    return points.groupBy("_g").agg(
         *[
             F.max(F.when(F.col("metric") == n, F.col("q")[0])).alias(n)
             for n in specs

@@ -64,7 +64,7 @@ def dedupe(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataF
     row = F.struct(*[F.col(f"`{c}`").alias(c) for c in df.columns])
     rank = F.struct(*order, F.to_json(row))
     return (
-        df.groupBy(F.struct(*[F.col(k) for k in keys]).alias("_key"))
+        df.groupBy(F.struct(*[F.col(k) for k in keys]).alias("_id"))
         .agg(F.min_by(row, rank).alias("_row"))
         .select("_row.*")
     )
@@ -78,12 +78,12 @@ def require_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     packed = F.struct(*[F.col(k) for k in keys])
     row = F.struct(*[F.col(f"`{c}`").alias(c) for c in df.columns])
     return (
-        df.groupBy(packed.alias("_key"))
+        df.groupBy(packed.alias("_id"))
         .agg(F.count("*").alias("_n"), F.any_value(row).alias("_row"))
         .withColumn(
             "_ok",
             F.when(F.col("_n") == 1, F.lit(True)).otherwise(
-                F.raise_error(F.concat(F.lit("duplicate key "), F.to_json("_key")))
+                F.raise_error(F.concat(F.lit("duplicate key "), F.to_json("_id")))
                 .cast("boolean")
             ),
         )

@@ -44,10 +44,10 @@ def stratified_sample(
     data = ordered(long_values(df, strata, {"u": u}))
     quota = F.round(F.lit(float(size)) * F.col("n") / F.col("total")).cast("bigint")
     last = F.least(F.greatest(quota, F.lit(1)), F.col("n")) - F.lit(1)
-    counted = type(data)(data.rows, data.buckets.withColumn("total", total))
-    cut = counted.at_ranks(F.array(last)).select("g", F.col("value").alias("_cut"))
-    keyed = df.withColumns({"g": key_struct(strata), "_u": u})
-    return attach(keyed, cut, ["g"], "inner").filter("_u <= _cut").drop("g", "_u", "_cut")
+    counted = data.with_buckets(data.buckets.withColumn("total", total))
+    cut = counted.at_ranks(F.array(last)).select("_g", F.col("value").alias("_cut"))
+    keyed = df.withColumns({"_g": key_struct(strata), "_u": u})
+    return attach(keyed, cut, ["_g"], "inner").filter("_u <= _cut").drop("_g", "_u", "_cut")
 
 
 def sizes_by(df: DataFrame, targets: Mapping[str, int]) -> dict[str, float]:

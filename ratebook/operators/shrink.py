@@ -12,6 +12,7 @@ from .joins import attach
 from .metrics import Metric, aggregate
 from .ordered import key_struct
 from .relational import union_diagonal
+from .staging import stage
 
 CONTEXT_KEYS = ["level_id", "pitch_tag", "season"]
 
@@ -101,7 +102,7 @@ def shrink_wide(
         pick(s, c).alias(f"{s}_{c}") for s in stats for c in ("num", "n", "raw", "reg")
     ]
     wide = long.groupBy(key_struct(keys)).agg(*cells)
-    return base.withColumn("g", key_struct(keys)).join(wide, "g", "left").drop("g")
+    return base.withColumn("_g", key_struct(keys)).join(wide, "_g", "left").drop("_g")
 
 
 def fact_cells(df: DataFrame, keys: Sequence[str], metrics: Sequence[Metric]) -> DataFrame:
@@ -111,7 +112,7 @@ def fact_cells(df: DataFrame, keys: Sequence[str], metrics: Sequence[Metric]) ->
     plain = [
         Metric(**{**m.__dict__, "parts": True, "scale": 1.0, "n": None}) for m in rates + values
     ]
-    wide = aggregate(df, keys, plain)
+    wide = stage(aggregate(df, keys, plain))
     frames = []
     if rates:
         frames.append(rate_cells(wide, keys, [m.name for m in rates]))

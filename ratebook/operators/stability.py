@@ -21,9 +21,9 @@ from .ordered import (
     key_struct,
     long_values,
     ordered,
-    quantile_points,
     unpack,
 )
+from .staging import stage
 
 MIN_VARIANCE = 1e-8
 CONSTANT_COLUMNS = [
@@ -172,16 +172,14 @@ def max_resampling_variance(
     Moments are taken around the maximum, where the mass sits.
     """
     long = long_values(df, keys, {"v": value}).filter("value IS NOT NULL")
-    data = ordered(long)
     n = F.col("n").cast("double")
     mass = F.pow((F.col("below") + F.col("cnt")) / n, n) - F.pow(F.col("below") / n, n)
-    tops = data.rows.groupBy("g").agg(F.max("value").alias("top"))
-    # The top reaches rows by (group, bucket), which spreads a large group.
-    buckets = data.buckets.join(tops, "g")
-    spread = type(data)(data.rows, buckets).ranks().filter(F.col("n") >= min_n)
     gap = F.col("value") - F.col("top")
     return (
-        spread.groupBy("g")
+        ordered(long)
+        .ranks()
+        .filter(F.col("n") >= min_n)
+        .groupBy("_g")
         .agg(
             F.max("value").alias("value"),
             F.max("n").alias("n"),
@@ -217,7 +215,7 @@ def quantile_resampling_variance(
     """
     long = long_values(df, keys, {"v": value}).filter("value IS NOT NULL")
     data = ordered(long)
-    sizes = data.buckets.groupBy("g").agg(F.max("n").alias("n")).filter(F.col("n") >= min_n)
+    sizes = data.buckets.groupBy("_g").agg(F.max("n").alias("n")).filter(F.col("n") >= min_n)
 
     @F.pandas_udf("array<bigint>")
     def draw(n: pd.Series, key_seed: pd.Series) -> pd.Series:
@@ -234,28 +232,38 @@ def quantile_resampling_variance(
             out.append(ranks.tolist())
         return pd.Series(out)
 
-    draws = sizes.select(
-        "g", draw(F.col("n"), F.xxhash64("g")).alias("draws")
+    at_q = F.lit(q) * (F.col("n") - 1)
+    # Drawn once: 2 * iters positions per entity, and the two of the value itself.
+    drawn = stage(
+        sizes.select("_g", "n", draw(F.col("n"), F.xxhash64("_g")).alias("draws"))
+    )
+    wanted = F.concat(
+        "draws", F.array(F.floor(at_q).cast("bigint"), F.ceil(at_q).cast("bigint"))
     )
-    with_draws = type(data)(data.rows, data.buckets.join(draws, "g"))
-    found = with_draws.at_ranks(F.col("draws"))
-    # At most 2 * iters entries per entity, a parameter.
-    table = found.groupBy("g").agg(
+    found = data.with_buckets(
+        data.buckets.join(drawn.select("_g", "draws"), "_g")
+    ).at_ranks(wanted)
+    table = found.groupBy("_g").agg(
         F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("at")
     )
-    part = F.lit(q) * (F.col("n") - 1) - F.floor(F.lit(q) * (F.col("n") - 1))
-    low = F.try_element_at("at", F.col("draws")[F.col("i")])
-    high = F.try_element_at("at", F.col("draws")[F.col("i") + iters])
-    spread = (
-        draws.join(sizes, "g")
-        .join(table, "g")
-        .select("g", "n", "draws", "at", F.explode(F.sequence(F.lit(0), F.lit(iters - 1))).alias("i"))
-        .select("g", "n", (low + (high - low) * part).alias("stat"))
-        .groupBy("g")
-        .agg(F.max("n").alias("n"), F.var_samp("stat").alias("var_within"))
+    part = at_q - F.floor(at_q)
+
+    def between(low: Column, high: Column) -> Column:
+        a, b = F.try_element_at("at", low), F.try_element_at("at", high)
+        return a + (b - a) * part
+
+    stats = F.transform(
+        F.sequence(F.lit(0), F.lit(iters - 1)),
+        lambda i: between(F.col("draws")[i], F.col("draws")[i + iters]),
+    )
+    point = between(F.floor(at_q).cast("bigint"), F.ceil(at_q).cast("bigint"))
+    return (
+        drawn.join(table, "_g")
+        .select("_g", "n", point.alias("value"), F.explode(stats).alias("stat"))
+        .groupBy("_g", "n", "value")
+        .agg(F.var_samp("stat").alias("var_within"))
+        .select(*unpack(keys), "value", "n", "var_within")
     )
-    points = quantile_points(data, {"v": [q]}).select("g", F.col("q")[0].alias("value"))
-    return spread.join(points, "g").select(*unpack(keys), "value", "n", "var_within")
 
 
 def resampled_constants(
@@ -265,6 +273,7 @@ def resampled_constants(
 
     K is the median over entities of n(1-r)/r with r = vb/(vb+vw).
     """
+    players = stage(players)
     group = (
         players.groupBy(key_struct(context))
         .agg(
@@ -281,7 +290,7 @@ def resampled_constants(
         players, context, {"_k": (F.col("n") * F.col("var_within"), 0.5)}, "linear"
     )
     out = (
-        group.join(scaled, "g")
+        group.join(scaled, "_g")
         .withColumn("K", ratio("_k", "var_between"))
         .filter(F.col("n_players") >= min_players)
         .select(*unpack(context), "n_players", "mu", "var_obs", "var_within", "var_between", "K")

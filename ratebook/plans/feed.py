@@ -28,6 +28,7 @@ from ..operators.metrics import (
 from ..operators.ordered import key_struct
 from ..operators.percentiles import percentile_table
 from ..operators.relational import ensure_columns, project
+from ..operators.staging import stage
 
 HITTER_KEYS = ["batter_mlbid", "hitter_name", "level_id", "hitting_code", "season"]
 PITCHER_KEYS = [
@@ -117,7 +118,7 @@ def mean_of_players(
             *[F.sum(f"`{c}`").alias(c) for c in sums],
             *[F.avg(f"`{c}`").alias(c) for c in means],
         )
-        .select("g.*", *[f"`{c}`" for c in [*sums, *means]])
+        .select("_g.*", *[f"`{c}`" for c in [*sums, *means]])
     )
 
 
@@ -263,7 +264,9 @@ def pitch_type_pctiles(types: DataFrame) -> DataFrame:
 
 def feed_outputs(feed: DataFrame, positions: DataFrame | None = None) -> dict[str, DataFrame]:
     """Ten tables by name, ready for ``sources.tables.publish``."""
-    bat, arm, kinds = hitter_table(feed, positions), pitcher_table(feed), pitch_type_table(feed)
+    bat = stage(hitter_table(feed, positions))
+    arm = stage(pitcher_table(feed))
+    kinds = stage(pitch_type_table(feed))
     return {
         "hitters": bat,
         "team_hitting": team_hitting(bat),

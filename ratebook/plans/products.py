@@ -11,6 +11,7 @@ from ..operators.grades import apply_grades, grade_thresholds, with_composite
 from ..operators.metrics import Metric, aggregate, partials, roll_up
 from ..operators.ordered import key_struct
 from ..operators.percentiles import percentile_table
+from ..operators.staging import stage
 from . import specs as S
 
 HITTING_GRAIN = [*S.HITTER_KEYS, "hitting_code"]
@@ -29,7 +30,7 @@ def position_counts(pitch: DataFrame) -> DataFrame:
             "pa_id",
         )
         .distinct()
-        .groupBy("g")
+        .groupBy("_g")
         .pivot("position", POSITIONS)
         .count()
         .na.fill(0, subset=POSITIONS)
@@ -39,9 +40,9 @@ def position_counts(pitch: DataFrame) -> DataFrame:
 def hitters(pitch: DataFrame, parts: DataFrame | None = None) -> DataFrame:
     table = aggregate(pitch, S.HITTER_KEYS, S.HITTERS, parts)
     return (
-        table.withColumn("g", key_struct(S.HITTER_KEYS))
-        .join(position_counts(pitch), "g", "left")
-        .drop("g")
+        table.withColumn("_g", key_struct(S.HITTER_KEYS))
+        .join(position_counts(pitch), "_g", "left")
+        .drop("_g")
     )
 
 
@@ -155,9 +156,9 @@ def graded_pitching(
     pitch: DataFrame, min_pitches: int = 50, min_entities: int = 10
 ) -> dict[str, DataFrame]:
     """Pitch types, pitchers, teams and league with their grades."""
-    parts = pitching_partials(pitch)
-    limits = major_thresholds(pitch, min_pitches, min_entities)
-    types = apply_grades(pitch_types(pitch, parts), limits)
+    parts = stage(pitching_partials(pitch))
+    limits = stage(major_thresholds(pitch, min_pitches, min_entities))
+    types = stage(apply_grades(pitch_types(pitch, parts), limits))
     out = {"pitch_types": types}
     out["pitchers"] = with_composite(
         pitchers(pitch, parts), types, ["pitcher_mlbid", "season", "level_id"]
@@ -194,15 +195,16 @@ def pitch_type_percentiles(
 
 
 def all_tables(pitch: DataFrame) -> dict[str, DataFrame]:
-    """The ten published tables. Persist ``pitch`` when writing all of them.
+    """The ten published tables; ``pitch`` is the written fact.
 
     Hitters, teams and the league are rolled up from hitter-by-team states, and
     pitchers, teams and the league from pitcher-by-team-and-type states, so the
     wide metric columns of the fact are read once per side.
     """
-    parts = hitting_partials(pitch)
-    bat = hitters(pitch, parts)
+    parts = stage(hitting_partials(pitch))
+    bat = stage(hitters(pitch, parts))
     graded = graded_pitching(pitch)
+    graded["pitchers"] = stage(graded["pitchers"])
     return {
         "hitters": bat,
         "pitchers": graded["pitchers"],
