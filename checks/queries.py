@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratebook.functions import domain as D
-from ratebook.functions.scalar import finite_or, glue, percent, ratio
+from ratebook.functions.scalar import finite_or, glue, ratio, recode
 from ratebook.operators import context as C
 from ratebook.operators import filters as FL
 from ratebook.operators import grades as G
@@ -30,7 +30,7 @@ from ratebook.plans import regress as RG
 from ratebook.plans import specs as S
 from ratebook.sources.tables import regular_season
 
-from .fixtures import feed_raw, load, obs, pitch_raw
+from .fixtures import OFF_HALF, WIDE_RANGE, feed_raw, load, obs, pitch_raw
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -43,9 +43,16 @@ def query(fn: Query) -> Query:
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     """Doubles to 6 places, so that summation order does not show."""
+
+    def comparable(name: str) -> Column:
+        c = F.col(f"`{name}`").cast("double")
+        if name in WIDE_RANGE:
+            return F.format_string("%.9e", c).cast("double")
+        return F.round(c + F.lit(OFF_HALF), places)
+
     return df.select(
         *[
-            F.round(F.col(f"`{c}`"), places).alias(c)
+            F.when(F.col(f"`{c}`").isNotNull(), comparable(c)).alias(c)
             if t in ("double", "float")
             else F.col(f"`{c}`")
             for c, t in df.dtypes
@@ -482,7 +489,7 @@ def regressed_hitters_from_table(spark, sf):
 def regression_long(spark, sf):
     df = pitch(spark, sf)
     constants = RG.stability_constants(df, min_denom=5, min_players=3)
-    return rounded(RG.regression_long(df, constants))
+    return rounded(RG.regression_long(df, constants, places=None))
 
 
 @query
@@ -607,7 +614,7 @@ def pitch_features(spark, sf):
             "spray_angle_adj", "hitter_name", "name", "x_adj", "release_x_adj", "haa_adj",
             "pfx_x_short_adj", "pitch_group", "pitch_tag", "hitting_code", "pitching_code",
             "outs_recorded", "vbreak", "hbreak", "pa_id", "count", "spin_efficiency", "xwt",
-            *[F.col(f).cast("int").alias(f) for f in ("swing", "whiff", "bbe", "bb", "_k")],
+            *[F.col(f).cast("int").alias(f) for f in ("swing", "whiff", "bbe", "bb", "k")],
         )
     )
 
@@ -722,8 +729,6 @@ def label_encode(spark, sf):
 @query
 def level_names(spark, sf):
     names = {v: k for k, v in D.LEVELS.items()}
-    from ratebook.functions.scalar import recode
-
     return obs(spark, sf).groupBy(
         "level_id", recode("level_id", names, None).alias("level")
     ).agg(F.count("*").alias("rows"))
@@ -883,7 +888,7 @@ def filter_ops(spark, sf):
         [
             ("p_size", "between", (10, 30)),
             ("p_retailprice", ">=", 950.0),
-            ("p_name", "contains", "A.*E"),
+            ("p_name", "contains", "R.*G"),
             ("p_brand", "!=", "Brand#11"),
             {"column": "p_size", "operator": "not_in", "value": [12, 13]},
         ],

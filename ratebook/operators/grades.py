@@ -90,7 +90,7 @@ def grade(raw: Column, lo: Column, hi: Column) -> Column:
 
     NULL when a threshold or the score is NULL or both thresholds are equal.
     """
-    scaled = F.lit(BEST) - F.lit(BEST - WORST) * F.try_divide(raw - lo, hi - lo)
+    scaled = F.lit(BEST) - F.try_divide(F.lit(BEST - WORST) * (raw - lo), hi - lo)
     return half_even(clip(scaled, WORST, BEST)).cast("bigint")
 
 

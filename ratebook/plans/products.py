@@ -14,6 +14,9 @@ from ..operators.percentiles import percentile_table
 from ..operators.staging import stage
 from . import specs as S
 
+# Published means that agree to this many places are one value in a ranking.
+TIE_PLACES = 9
+
 HITTING_GRAIN = [*S.HITTER_KEYS, "hitting_code"]
 PITCHING_GRAIN = [*S.PITCHER_KEYS, "pitch_tag", "pitching_code"]
 
@@ -174,14 +177,14 @@ def graded_pitching(
 def hitter_percentiles(table: DataFrame, mode: str = "quantile_bin", min_pa: float = 200) -> DataFrame:
     return percentile_table(
         table, S.HITTER_KEYS, ["season", "level_id"], S.HITTER_PERCENTILES, mode,
-        F.col("PA") >= min_pa,
+        F.col("PA") >= min_pa, tie_places=TIE_PLACES,
     )
 
 
 def pitcher_percentiles(table: DataFrame, mode: str = "quantile_bin", min_ip: float = 40) -> DataFrame:
     return percentile_table(
         table, S.PITCHER_KEYS, ["season", "level_id"], S.PITCHER_PERCENTILES, mode,
-        F.col("IP") >= min_ip,
+        F.col("IP") >= min_ip, tie_places=TIE_PLACES,
     )
 
 
@@ -191,6 +194,7 @@ def pitch_type_percentiles(
     return percentile_table(
         table, S.PITCH_TYPE_KEYS, ["season", "level_id", "pitch_tag"],
         S.PITCH_TYPE_PERCENTILES, mode, F.col("pitches") >= min_pitches,
+        tie_places=TIE_PLACES,
     )
 
 

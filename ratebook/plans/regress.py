@@ -103,10 +103,13 @@ def regress_facts(
 
 
 def regression_long(
-    pitch: DataFrame, constants: DataFrame, datasets: Sequence[str] = tuple(S.REGRESSED)
+    pitch: DataFrame,
+    constants: DataFrame,
+    datasets: Sequence[str] = tuple(S.REGRESSED),
+    places: int | None = 1,
 ) -> DataFrame:
     """The long tables of all datasets, stacked by column name."""
-    return union_diagonal([regress_facts(pitch, constants, d)[1] for d in datasets])
+    return union_diagonal([regress_facts(pitch, constants, d, places=places)[1] for d in datasets])
 
 
 def regress_table(
