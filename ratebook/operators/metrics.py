@@ -19,7 +19,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import half_even, ratio
+from ..functions.scalar import half_even
 from .ordered import LINEAR, NEAREST, grouped_quantiles, key_struct, unpack
 
 # Names a spec may use instead of a predicate.
@@ -156,36 +156,42 @@ def load_specs(path: str | Path) -> dict[str, list[Metric]]:
 
 
 class States:
-    """Shared aggregate states of a metric list."""
+    """Shared aggregate states of a metric list, as SQL text.
+
+    Text keeps plan building cheap: one parsed expression per output column.
+    """
 
     def __init__(self, metrics: Iterable[Metric]) -> None:
         self._names: dict[tuple[str, str], str] = {}
-        self.metrics = list(metrics)
-        for m in self.metrics:
+        self.finals: list[str] = []
+        for m in metrics:
             if m.kind in ADDITIVE:
-                self._finals(m)
+                self.finals += self._finals(m)
             elif m.kind == "quantile" and m.parts:
-                self._n(m)
+                self.finals.append(f"{self._n(m)} AS `{m.name}_n`")
+
+    @property
+    def names(self) -> list[str]:
+        return list(self._names.values())
 
-    def _state(self, fn: str, text: str) -> Column:
+    def _state(self, fn: str, text: str) -> str:
         # Named by content, so that lists with common metrics share partials.
         text = " ".join(text.split())
         name = "s" + hashlib.md5(f"{fn}:{text}".encode()).hexdigest()[:12]
-        return F.col(self._names.setdefault((fn, text), name))
+        return self._names.setdefault((fn, text), name)
 
-    def _count(self, predicate: str) -> Column:
+    def _count(self, predicate: str) -> str:
         return self._state("count", predicate)
 
-    def _n(self, m: Metric) -> Column:
+    def _n(self, m: Metric) -> str:
         return self._count(m.n or f"({m.measured}) IS NOT NULL")
 
     def first_pass(self) -> list[Column]:
-        make = {
-            "count": lambda t: F.count("*") if t == "*" else F.count_if(F.expr(t)),
-            "sum": lambda t: F.sum(F.expr(t)),
-            "max": lambda t: F.max(F.expr(t)),
-        }
-        return [make[fn](text).alias(name) for (fn, text), name in self._names.items()]
+        make = {"count": "count_if({})", "sum": "sum({})", "max": "max({})"}
+        return [
+            F.expr("count(*)" if (fn, text) == ("count", "*") else make[fn].format(text)).alias(name)
+            for (fn, text), name in self._names.items()
+        ]
 
     def merge(self) -> list[Column]:
         return [
@@ -193,38 +199,30 @@ class States:
             for (fn, _), name in self._names.items()
         ]
 
-    def _finals(self, m: Metric) -> list[Column]:
+    def _finals(self, m: Metric) -> list[str]:
+        scale = "" if m.scale == 1.0 else f"{float(m.scale)!r}D * "
         if m.kind == "count":
-            return [self._count(m.num).alias(m.name)]
+            return [f"{self._count(m.num)} AS `{m.name}`"]
         if m.kind == "sum":
-            value = F.coalesce(self._state("sum", m.measured), F.lit(0))
-            return [(value * F.lit(m.scale) if m.scale != 1.0 else value).alias(m.name)]
+            return [f"{scale}coalesce({self._state('sum', m.measured)}, 0) AS `{m.name}`"]
         if m.kind == "rate":
             num, den = self._count(m.num), self._count(m.den)
-            out = [(F.lit(float(m.scale)) * ratio(num, den)).alias(m.name)]
+            out = [f"{scale}{_ratio(num, den)} AS `{m.name}`"]
             if m.parts:
-                out += [num.alias(f"{m.name}_num"), den.alias(f"{m.name}_den")]
+                out += [f"{num} AS `{m.name}_num`", f"{den} AS `{m.name}_den`"]
             return out
         if m.kind == "mean":
             n = self._count(f"({m.measured}) IS NOT NULL")
-            value = ratio(self._state("sum", m.measured), n)
+            out = [f"{scale}{_ratio(self._state('sum', m.measured), n)} AS `{m.name}`"]
         else:
-            value = self._state("max", m.measured)
-        if m.scale != 1.0:
-            value = value * F.lit(float(m.scale))
-        out = [value.alias(m.name)]
+            out = [f"{scale}{self._state('max', m.measured)} AS `{m.name}`"]
         if m.parts:
-            out.append(self._n(m).alias(f"{m.name}_n"))
+            out.append(f"{self._n(m)} AS `{m.name}_n`")
         return out
 
-    def finals(self) -> list[Column]:
-        out: list[Column] = []
-        for m in self.metrics:
-            if m.kind in ADDITIVE:
-                out += self._finals(m)
-            elif m.kind == "quantile" and m.parts:
-                out.append(self._n(m).alias(f"{m.name}_n"))
-        return out
+
+def _ratio(num: str, den: str) -> str:
+    return f"try_divide(CAST({num} AS DOUBLE), CAST({den} AS DOUBLE))"
 
 
 def partials(df: DataFrame, keys: Sequence[str], metrics: Sequence[Metric]) -> DataFrame:
@@ -233,16 +231,14 @@ def partials(df: DataFrame, keys: Sequence[str], metrics: Sequence[Metric]) -> D
     return (
         df.groupBy(key_struct(keys))
         .agg(*states.first_pass())
-        .select(*unpack(keys), *[F.col(n) for n in states._names.values()])
+        .select(*unpack(keys), *states.names)
     )
 
 
 def roll_up(parts: DataFrame, keys: Sequence[str], metrics: Sequence[Metric]) -> DataFrame:
     """Additive metrics at a coarser grain, without going back to the rows."""
     states = States(metrics)
-    wide = (
-        parts.groupBy(key_struct(keys)).agg(*states.merge()).select("_g", *states.finals())
-    )
+    wide = parts.groupBy(key_struct(keys)).agg(*states.merge()).selectExpr("_g", *states.finals)
     return _publish(_derive(wide, metrics), keys, metrics)
 
 
@@ -263,7 +259,7 @@ def aggregate(
         base = df.groupBy(key_struct(keys)).agg(*states.first_pass() or [F.count("*").alias("s")])
     else:
         base = parts.groupBy(key_struct(keys)).agg(*states.merge())
-    wide = base.select("_g", *states.finals())
+    wide = base.selectExpr("_g", *states.finals)
     # Metrics over the same value share one pass: a list and a distinct count
     # both start from the distinct (group, value) pairs.
     for m in metrics:
@@ -306,6 +302,7 @@ def _list(df: DataFrame, keys: Sequence[str], m: Metric) -> DataFrame:
 
 
 def _derive(wide: DataFrame, metrics: Sequence[Metric]) -> DataFrame:
+    """Add derived metrics; those that use other derived ones come after them."""
     for m in metrics:
         if m.kind == "derived":
             wide = wide.withColumn(m.name, F.expr(m.expr))
