@@ -6,12 +6,15 @@ cut every group into value buckets first:
 
 1. equal values are counted together (``compact``), hashed on group *and* value,
    so a hot group is spread over all tasks and ties cost one row;
-2. one row in :data:`ROWS_PER_SPLITTER`, at most :data:`SPLITTERS` rows in all,
-   is chosen by the hash of (group, value) and gives a bucket edge. It is a
-   uniform sample of the compacted rows and a pure function of the data, so a
-   recomputed task sees the same edges. Small inputs have one bucket;
-3. bucket totals are summed per group; at most SPLITTERS + 2 rows per group;
-4. rows join their bucket's offset on (group, bucket), and only a bucket is ever
+2. the :data:`SPLITTERS` largest groups are found by size. Any other group holds
+   at most 1/SPLITTERS of the compacted rows, less than a task's usual share, and
+   stays in one bucket;
+3. one row in :data:`ROWS_PER_SPLITTER` of the large groups, at most SPLITTERS rows
+   in all, is chosen by the hash of (group, value) and gives a bucket edge. It is
+   a uniform sample of their rows and a pure function of the data, so a
+   recomputed task sees the same edges;
+4. bucket totals are summed per group; at most SPLITTERS + 2 rows per group;
+5. rows join their bucket's offset on (group, bucket), and only a bucket is ever
    sorted, about 1/SPLITTERS of the compacted rows.
 
 Groups are carried as one struct column ``_g``: struct equality treats NULL
@@ -136,10 +139,22 @@ def compact(long: DataFrame) -> DataFrame:
 def ordered(long: DataFrame, splitters: int = SPLITTERS) -> Ordered:
     """Bucket (g, metric, value) rows for the rank operators of the result."""
     rows = compact(long)
-    # The hash takes cnt in, so that the sample needs the same columns as the
-    # rows themselves and Spark runs the compaction once for both.
+    # Both the sizes and the sample use every column of the compacted rows, so
+    # Spark runs the compaction once for all three uses.
+    sizes = rows.groupBy("_g", "metric").agg(
+        F.count("*").alias("size"), F.sum("cnt").alias("weight")
+    )
+    large = (
+        sizes.filter(F.col("size") > ROWS_PER_SPLITTER)
+        .orderBy(F.desc("size"), F.desc("weight"), F.xxhash64("_g", "metric"))
+        .limit(splitters)
+        .select("_g", "metric", F.lit(True).alias("large"))
+    )
+    # At most `splitters` rows: a proven bound for the broadcast.
+    rows = rows.join(F.broadcast(large), ["_g", "metric"], "left")
     sampled = F.when(
-        F.col("value").isNotNull(), F.xxhash64("_g", "metric", "value", "cnt")
+        F.col("large") & F.col("value").isNotNull(),
+        F.xxhash64("_g", "metric", "value", "cnt"),
     )
     sample = (
         rows.select("metric", "value", sampled.alias("h"))
@@ -147,7 +162,7 @@ def ordered(long: DataFrame, splitters: int = SPLITTERS) -> Ordered:
         .orderBy("h", "metric", "value")
         .limit(splitters)
     )
-    # At most `splitters` values in all: a proven bound for the broadcast.
+    # At most `splitters` values in all: again a proven bound.
     edges = sample.groupBy("metric").agg(
         F.sort_array(F.collect_set("value")).alias("edges")
     )
@@ -169,7 +184,7 @@ def ordered(long: DataFrame, splitters: int = SPLITTERS) -> Ordered:
         "metric",
         F.coalesce(
             F.when(F.col("value").isNull(), -1)
-            .when(F.col("edges").isNull(), 0)
+            .when(F.col("large").isNull() | F.col("edges").isNull(), 0)
             .otherwise(position),
             F.lit(0),
         ).alias("bucket"),
