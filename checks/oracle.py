@@ -422,9 +422,9 @@ _ZERO = ", ".join(f"0 AS {p}" for p in _POS if p != "NA")
 ORACLE["feed_hitters"] = f"""{WITH_FH} SELECT {_ZERO}, {_FH}, pitches, PA, bbe,
   {', '.join(f'{r(m)} AS {m}' for m in _FH_METRICS)} FROM h"""
 ORACLE["feed_hitters_with_positions"] = f"""{WITH_FH}
-SELECT h.batter_mlbid, hitter_name, season, hitting_code, pitches, 0 AS UT, 1 AS X, 0 AS X1B, 0 AS X2B, 0 AS X3B,
+SELECT h.batter_mlbid, hitter_name, season, hitting_code, pitches, 0 AS UT, 0 AS X1B, 0 AS X2B, 0 AS X3B,
   0 AS SS, CAST(s_nationkey AS BIGINT) AS "OF", 0 AS P, CASE WHEN s_suppkey IS NOT NULL THEN 1 END AS C
-FROM h LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey % 3 <> 0) s ON h.batter_mlbid = s.s_suppkey""".replace(" 1 AS X,", "")
+FROM h LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey % 3 <> 0) s ON h.batter_mlbid = s.s_suppkey"""
 _TM = ["damage_rate", "EV90th", "pull_FB_pct", "SEAGER", "selection_skill", "hittable_pitches_taken", "chase",
        "z_con", "contact_vs_avg"]
 
