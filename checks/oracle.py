@@ -928,7 +928,8 @@ ORACLE["sensor_ladder"] = f"""SELECT l_orderkey, l_linenumber, l_partkey,
   {r('CASE WHEN l_tax < 0.02::DOUBLE THEN l_tax WHEN l_tax < 0.05::DOUBLE THEN 60.5 - l_quantity WHEN l_tax < 0.07::DOUBLE THEN 60.5 - l_discount END')} AS ext
 FROM lineitem"""
 ORACLE["date_lenient"] = """SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN CAST(o_orderdate AS DATE) END AS game_date FROM orders"""
-ORACLE["ensure_columns"] = """SELECT n_nationkey, n_name, CAST(NULL AS DOUBLE) AS decision_value, CAST(NULL AS BIGINT) AS damage FROM nation"""
+ORACLE["ensure_columns"] = """SELECT o_orderkey, o_orderstatus, CAST(NULL AS DOUBLE) AS decision_value,
+  CAST(NULL AS BIGINT) AS damage FROM orders"""
 ORACLE["column_contracts"] = """SELECT l_suppkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, round_even(avg(l_quantity), 1) AS LA_gte_20,
   round_even(CAST(CAST(avg(l_tax) AS FLOAT) AS DOUBLE), 1) AS LA_lte_0, max(l_returnflag) AS hitting_code,
   count(*) AS whiff_rate_n FROM lineitem GROUP BY l_suppkey, l_linenumber"""

@@ -689,8 +689,8 @@ def date_lenient(spark, sf):
 
 @query
 def ensure_columns(spark, sf):
-    df = load(spark, sf, "nation").select("n_nationkey", "n_name")
-    return R.ensure_columns(df, {"n_name": "string", "decision_value": "double", "damage": "bigint"})
+    df = load(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    return R.ensure_columns(df, {"o_orderstatus": "string", "decision_value": "double", "damage": "bigint"})
 
 
 @query
