@@ -82,7 +82,7 @@ def mix(
     weights: Sequence[float] = (1, 2, 3),
     block: int = 32,
     most: int = 3,
-    docs_per_shard: int = 50_000,
+    docs_per_shard: int = 5_000,
     seed: int = 6,
 ) -> DataFrame:
     """How many words the mix takes of each document.

@@ -66,7 +66,7 @@ WITH sized AS (
   SELECT doc_id, source, CAST({_SIZE} AS BIGINT) AS size,
          {_RAND.format("'6|' || coalesce(CAST(doc_id AS VARCHAR), '')")} AS rand FROM documents),
 found AS (
-  SELECT source, CAST(sum(size) AS BIGINT) AS n, (count(*) + 49999) // 50000 AS shards,
+  SELECT source, CAST(sum(size) AS BIGINT) AS n, (count(*) + 4999) // 5000 AS shards,
          row_number() OVER (ORDER BY source NULLS LAST) AS i FROM sized GROUP BY source),
 weighed AS (SELECT *, CAST((i - 1) % 3 + 1 AS DOUBLE) AS w, sum(n) OVER () AS total FROM found),
 filled AS (
