@@ -5,8 +5,8 @@ text). In each run a set chooses the shingles whose seeded hash is below
 1 / (similarity * size), 1 / similarity of them on average; sets that choose one
 shingle share a bucket. Two sets at the similarity share a bucket of a run with
 probability of at least 1 - 1/e, and runs are repeated until the target recall. A
-large bucket is split again by further chosen shingles of its members; what stays
-large is compared in blocks. Small buckets are brute-forced: minwise sketches first,
+large bucket is split again by further chosen shingles of its members; buckets of sets that
+are alike on average, and what stays large, are compared in blocks. Small buckets are brute-forced: minwise sketches first,
 then the shingle sets themselves.
 
 A pair is counted in the first bucket that its two sets share, so counts add up and
@@ -38,7 +38,7 @@ from ratebook.operators.staging import stage
 SHINGLE = 5
 NEAR = (4, 5)  # similarity as a fraction, so that the comparison is exact
 SKETCH, LEAST_EQUAL = 64, 30  # equal sketch places of a pair at 0.8: 51 on average, deviation 3.2
-BUCKET = 512
+BUCKET = 1024
 FANOUT = 3.0  # chosen shingles of a set when a large bucket is split
 DEPTH = 2
 _U = np.uint64
@@ -265,6 +265,20 @@ def _texts_of(docs: DataFrame, sets: DataFrame) -> DataFrame:
     return one.select("vid", _sets(F.col("text")).alias("shingles"))
 
 
+def _alike(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Keys of buckets whose sets are alike on average, by a few places of their sketches.
+
+    Their sets share most shingles, so further paths would not part them; their pairs
+    are links for the most part, and are compared at once.
+    """
+    byte = rows.join(sets.select("vid", "sketch"), "vid").select(
+        "key", F.explode(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.struct(i.alias("at"), F.substring("sketch", i, 1).alias("byte")))).alias("p")
+    )
+    equal = byte.groupBy("key", "p").agg(F.count("*").alias("n"))
+    square = F.sum(F.col("n").cast("double") * F.col("n")) * 4 / F.pow(F.sum("n"), F.lit(2))
+    return equal.groupBy("key").agg(square.alias("mean")).where("mean >= 0.5").select("key")
+
+
 def buckets(docs: DataFrame, sets: DataFrame) -> DataFrame:
     """(vid, key, size): the buckets of at least two sets, large ones split by further paths."""
 
@@ -278,6 +292,10 @@ def buckets(docs: DataFrame, sets: DataFrame) -> DataFrame:
         large = rows.where(F.col("size") > BUCKET)
         if large.isEmpty():
             return leaves
+        alike = small(stage(_alike(large, sets)))
+        leaves = leaves.union(large.join(alike, "key", "left_semi"))
+        large = large.join(alike, "key", "left_anti")
+        rows = large
         named = large.select("vid", "key").join(sets.select("vid", "tk"), "vid")
         texts = stage(_texts_of(docs, named))
 
