@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-import string
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -39,7 +38,7 @@ SHINGLE = 5
 NEAR = (4, 5)  # similarity as a fraction, so that the comparison is exact
 SKETCH, LEAST_EQUAL = 64, 30  # equal sketch places of a pair at 0.8: 51 on average, deviation 3.2
 BUCKET = 1024
-FANOUT = 3.0  # chosen shingles of a set when a large bucket is split
+FANOUT = 4.0  # chosen shingles of a set when a large bucket is split
 DEPTH = 2
 _U = np.uint64
 _LOW = bytes.maketrans(
@@ -79,22 +78,23 @@ def shingles(text: str, names: _Names) -> np.ndarray:
 
 def chosen(sets: np.ndarray, salt: int, expect: float) -> np.ndarray:
     """Bucket keys of the shingles that a set chooses under ``salt``, ``expect`` on average."""
-    drawn = _mix(sets ^ _mix(np.array([salt], np.uint64)))
+    seed = _mix(np.array([salt], np.uint64))
+    drawn = (sets ^ seed) * (_mix(seed) | _U(1))  # names are random already
     limit = expect / max(1, len(sets))
     hit = drawn if limit >= 1 else drawn[drawn < _U(int(limit * 2**64))]
-    return _mix(hit + _U(salt & 0xFFFFFFFFFFFFFFFF)).view(np.int64)
+    return _mix(hit + seed).view(np.int64)
 
 
-_A = _mix(np.arange(1, SKETCH + 1, dtype=np.uint64)) | _U(1)
+_A = _mix(np.arange(1, SKETCH + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
 
 
 def sketch(sets: np.ndarray) -> bytes:
     """One byte of each of 64 minwise values."""
-    low = np.full(SKETCH, ~_U(0))
+    low = np.full(SKETCH, 0xFFFFFFFF, np.uint32)
     for i in range(0, len(sets), 4096):
-        part = sets[i : i + 4096] >> _U(1)
-        low = np.minimum(low, (part[None, :] * _A[:, None] ^ (part[None, :] >> _U(29))).min(axis=1))
-    return (_mix(low) >> _U(56)).astype(np.uint8).tobytes()
+        part = (sets[i : i + 4096] >> _U(32)).astype(np.uint32)
+        low = np.minimum(low, (part[None, :] * _A[:, None]).min(axis=1))
+    return (_mix(low.astype(np.uint64)) >> _U(56)).astype(np.uint8).tobytes()
 
 
 def runs_for(recall: float) -> int:
@@ -266,17 +266,16 @@ def _texts_of(docs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _alike(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """Keys of buckets whose sets are alike on average, by a few places of their sketches.
+    """Keys of buckets whose sets are alike on average, judged by one place of their sketches.
 
     Their sets share most shingles, so further paths would not part them; their pairs
     are links for the most part, and are compared at once.
     """
-    byte = rows.join(sets.select("vid", "sketch"), "vid").select(
-        "key", F.explode(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.struct(i.alias("at"), F.substring("sketch", i, 1).alias("byte")))).alias("p")
-    )
-    equal = byte.groupBy("key", "p").agg(F.count("*").alias("n"))
-    square = F.sum(F.col("n").cast("double") * F.col("n")) * 4 / F.pow(F.sum("n"), F.lit(2))
-    return equal.groupBy("key").agg(square.alias("mean")).where("mean >= 0.5").select("key")
+    place = F.pmod(F.col("key"), F.lit(SKETCH)).cast("int") + 1
+    byte = rows.join(sets.select("vid", "sketch"), "vid").select("key", F.substring("sketch", place, F.lit(1)).alias("byte"))
+    equal = byte.groupBy("key", "byte").agg(F.count("*").cast("double").alias("n"))
+    mean = F.sum(F.col("n") * F.col("n")) / F.pow(F.sum("n"), F.lit(2))
+    return equal.groupBy("key").agg(mean.alias("mean")).where("mean >= 0.5").select("key")
 
 
 def buckets(docs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -309,7 +308,7 @@ def buckets(docs: DataFrame, sets: DataFrame) -> DataFrame:
     return leaves.union(rows.where(F.col("size") > BUCKET))
 
 
-def near_duplicates(docs: DataFrame, recall: float = 0.9999) -> DataFrame:
+def near_duplicates(docs: DataFrame, recall: float = 0.999999) -> DataFrame:
     """Per row of ``docs``: doc_id, class_id, text_class, n_links.
 
     ``class_id`` is the least id of all texts connected by links, ``text_class`` that of

@@ -136,4 +136,20 @@ SELECT conv_id, count(*) AS n_turns,
 FROM o GROUP BY conv_id
 """
 
-ORACLE: dict[str, str] = {"op2_decontaminate": OP2, "op4_shard": OP4, "op6_mix": OP6, "op9_chat": OP9}
+OP8 = """
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS w
+  FROM documents),
+g AS (SELECT rid, doc_id, s, array_to_string(w[s:s + 12], ' ') AS seq
+      FROM d, LATERAL (SELECT unnest(generate_series(1, len(w) - 12)) AS s)),
+f AS (SELECT seq, min(doc_id) AS first FROM g GROUP BY seq),
+c AS (SELECT DISTINCT rid, unnest(generate_series(s, s + 12)) AS p FROM g JOIN f USING (seq) WHERE f.first < g.doc_id),
+k AS (
+  SELECT x.rid, string_agg(word, ' ' ORDER BY x.p) AS kept
+  FROM (SELECT rid, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d) x
+  LEFT JOIN c ON c.rid = x.rid AND c.p = x.p WHERE c.p IS NULL GROUP BY x.rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (rid) LEFT JOIN (SELECT rid, count(*) AS n FROM c GROUP BY rid) USING (rid)
+"""
+
+ORACLE: dict[str, str] = {"op2_decontaminate": OP2, "op4_shard": OP4, "op6_mix": OP6, "op8_repeats": OP8, "op9_chat": OP9}
