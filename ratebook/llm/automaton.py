@@ -29,7 +29,20 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ratebook.llm.blocks import Block, U, answer, ask, bits_for, mix, pack, settle, split_keys
+from ratebook.llm.blocks import (
+    BLOCK_BYTES,
+    Block,
+    U,
+    answer,
+    ask,
+    bits_for,
+    mix,
+    pack,
+    planes,
+    settle,
+    split_keys,
+    unplanes,
+)
 from ratebook.operators.staging import stage
 
 GRID = (3.0, 30.0, 300.0, 3000.0, 30000.0)
@@ -45,22 +58,23 @@ class Walk:
         length = size + 2  # with start and end
         self.first = np.cumsum(length) - length
         names = mix(np.concatenate([block.names(), [_START, _END]]).astype(U)) | U(1)
-        token = np.full(int(length.sum()), len(names) - 2)
+        token = np.full(int(length.sum()), len(names) - 2, np.int32)
         token[self.first + length - 1] = len(names) - 1
         inside = np.ones(len(token), bool)
         inside[self.first] = False
         self.scored = inside.copy()
         inside[self.first + length - 1] = False
         token[inside] = block.codes
-        self.doc = np.repeat(np.arange(n), length)
+        self.doc = np.repeat(np.arange(n, dtype=np.int32), length)
         self.start_key = names[-2]
         self.keys, self.at, self.valid = [names], [token], [np.ones(len(token), bool)]
-        gram, depth = names[token], np.arange(len(token)) - np.repeat(self.first, length)
+        gram = names[token]
+        depth = (np.arange(len(token)) - np.repeat(self.first, length)).astype(np.int32)
         for k in range(2, order + 1):
             gram = mix(np.append(U(0), gram[:-1]) * U(0x9E3779B97F4A7C15) + names[token]) & ~U(1)
             valid = depth >= k - 1
             keys, at = np.unique(gram[valid], return_inverse=True)
-            full = np.zeros(len(token), np.int64)
+            full = np.zeros(len(token), np.int32)
             full[valid] = at
             self.keys.append(keys), self.at.append(full), self.valid.append(valid)
 
@@ -95,8 +109,8 @@ def log_probabilities(walk: Walk, counts: list[np.ndarray], n: int, v: int, k: f
 
 def score(docs: DataFrame, train: Column, order: int = 2, grid: tuple[float, ...] = GRID) -> DataFrame:
     """Scores of all documents by the model of those where ``train`` holds."""
-    columns = [F.col("doc_id").cast("string"), train.cast("int")]
-    blocks = pack(docs, F.col("text"), columns, "doc_id string, train int", lower=True)
+    columns = [F.col("doc_id").cast("string"), F.coalesce(train, F.lit(False)).cast("int")]
+    blocks = pack(docs, F.col("text"), columns, "doc_id string, train int", lower=True, size=BLOCK_BYTES // 2)
     bits = bits_for(docs)
 
     def learned(walk: Walk, block: Block) -> np.ndarray:
@@ -111,7 +125,7 @@ def score(docs: DataFrame, train: Column, order: int = 2, grid: tuple[float, ...
         _, at = np.unique(keys, return_inverse=True)
         sums = np.zeros(int(at.max()) + 1, np.int64)
         np.add.at(sums, at, told)
-        return lambda part: sums[at[part]].tobytes()
+        return lambda part: planes(sums[at[part]])
 
     start = mix(np.array([_START], U))[0] | U(1)
 
@@ -128,7 +142,7 @@ def score(docs: DataFrame, train: Column, order: int = 2, grid: tuple[float, ...
         walk = Walk(block, order)
         keys, place = walk.all_keys()
         flat = np.empty(len(keys), np.int64)
-        flat[place] = np.frombuffer(b"".join(replies), np.int64)
+        flat[place] = np.concatenate([unplanes(r, np.int64) for r in replies])
         counts = np.split(flat, np.cumsum([len(k) for k in walk.keys])[:-1])
         single = counts[0][walk.at[0]]
         by_doc = lambda x: np.add.reduceat(np.where(walk.scored, x, 0), walk.first)

@@ -84,11 +84,11 @@ class Block:
         return len(self.ends)
 
 
-def pack(docs: DataFrame, text: Column, columns: list[Column], schema: str, lower: bool = False) -> DataFrame:
+def pack(docs: DataFrame, text: Column, columns: list[Column], schema: str, lower: bool = False, size: int = BLOCK_BYTES) -> DataFrame:
     """Blocks (block, payload) of all rows, written; words are split at ASCII white space.
 
     ``columns`` travel along, of the simple types that ``schema`` gives; with ``lower``
-    A-Z are lowered.
+    A-Z are lowered. A block holds ``size`` bytes of text, or one longer text.
     """
     names = [c.split()[0] for c in schema.split(",")]
 
@@ -96,7 +96,7 @@ def pack(docs: DataFrame, text: Column, columns: list[Column], schema: str, lowe
         from pyspark import TaskContext
 
         first, made = TaskContext.get().partitionId() << 24, count()
-        rows, ends, codes, seen, size = {c: [] for c in names}, [], [], defaultdict(count().__next__), 0
+        rows, ends, codes, seen, held = {c: [] for c in names}, [], [], defaultdict(count().__next__), 0
 
         def flush() -> pd.DataFrame:
             block = Block(
@@ -114,10 +114,10 @@ def pack(docs: DataFrame, text: Column, columns: list[Column], schema: str, lowe
                     rows[c].append(values[i])
                 ends.append(len(own))
                 codes.append(own)
-                size += len(raw or b"")
-                if size >= BLOCK_BYTES:
+                held += len(raw or b"")
+                if held >= size:
                     yield flush()
-                    rows, ends, codes, seen, size = {c: [] for c in names}, [], [], defaultdict(count().__next__), 0
+                    rows, ends, codes, seen, held = {c: [] for c in names}, [], [], defaultdict(count().__next__), 0
         if ends:
             yield flush()
 
@@ -131,6 +131,16 @@ def bits_for(docs: DataFrame) -> int:
     return max(4, (4 * parts - 1).bit_length())
 
 
+def planes(x: np.ndarray) -> bytes:
+    """The first bytes of all values, then the second ones: high bytes compress to little."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes()
+
+
+def unplanes(raw: bytes, kind: type | np.dtype) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
 def split_keys(block: int, keys: np.ndarray, told: np.ndarray, bits: int, width: type = np.uint64) -> pd.DataFrame:
     """Rows of :data:`ASK` for sorted keys; narrower keys keep the bits below the range's."""
     bucket = (keys >> U(64 - bits)).astype(np.int64)
@@ -139,8 +149,8 @@ def split_keys(block: int, keys: np.ndarray, told: np.ndarray, bits: int, width:
     return pd.DataFrame({
         "bucket": bucket[edges[:-1]].astype(np.int32),
         "block": block,
-        "keys": [sent[a:b].tobytes() for a, b in zip(edges, edges[1:])],
-        "told": [told[a:b].tobytes() for a, b in zip(edges, edges[1:])],
+        "keys": [planes(np.diff(sent[a:b], prepend=sent.dtype.type(0))) for a, b in zip(edges, edges[1:])],
+        "told": [planes(told[a:b]) for a, b in zip(edges, edges[1:])],
     })
 
 
@@ -166,9 +176,9 @@ def answer(
     """
 
     def answered(part: pd.DataFrame) -> pd.DataFrame:
-        keys = [np.frombuffer(k, width) for k in part["keys"]]
+        keys = [np.cumsum(unplanes(k, width), dtype=width) for k in part["keys"]]
         ends = np.cumsum([len(k) for k in keys])
-        everything = np.concatenate(keys), np.frombuffer(b"".join(part["told"]), told)
+        everything = np.concatenate(keys), np.concatenate([unplanes(t, told) for t in part["told"]])
         reply = work(*everything)
         rows = [
             (block, reply(slice(a, b))) for block, a, b in zip(part["block"], np.append(0, ends[:-1]), ends)

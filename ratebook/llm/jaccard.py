@@ -292,7 +292,7 @@ def buckets(docs: DataFrame, sets: DataFrame) -> DataFrame:
         if large.isEmpty():
             return leaves
         alike = small(stage(_alike(large, sets)))
-        leaves = leaves.union(large.join(alike, "key", "left_semi"))
+        leaves = leaves.unionByName(large.join(alike, "key", "left_semi"))
         large = large.join(alike, "key", "left_anti")
         rows = large
         named = large.select("vid", "key").join(sets.select("vid", "tk"), "vid")
@@ -304,8 +304,8 @@ def buckets(docs: DataFrame, sets: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"vid": np.repeat(frame["vid"].to_numpy(), [len(k) for k in keys]), "key": np.concatenate(keys) if keys else []})
 
         rows = sized(large.select("vid", "key").join(texts, "vid").mapInPandas(split, "vid long, key long").distinct())
-        leaves = leaves.union(rows.where(F.col("size") <= BUCKET))
-    return leaves.union(rows.where(F.col("size") > BUCKET))
+        leaves = leaves.unionByName(rows.where(F.col("size") <= BUCKET))
+    return leaves.unionByName(rows.where(F.col("size") > BUCKET))
 
 
 def near_duplicates(docs: DataFrame, recall: float = 0.999999) -> DataFrame:

@@ -140,7 +140,7 @@ def repeats(docs: DataFrame, width: int = WINDOW) -> DataFrame:
         if not names:
             return pd.DataFrame(columns=[c.split()[0] for c in ASK.split(", ")])
         keys, low, several = _least(np.concatenate(names), np.concatenate(who))
-        return split_keys(number, keys, np.rec.fromarrays([low, several], _TOLD), bits)
+        return split_keys(number, keys, np.rec.fromarrays([low, several], _TOLD).view(np.ndarray), bits)
 
     def first_ids(keys: np.ndarray, told: np.ndarray):
         _, at = np.unique(keys, return_inverse=True)
