@@ -1,2 +1,103 @@
-ORACLE_SQL=None
-def run(spark, sf_dir): raise NotImplementedError
+"""From raw documents to shards: each stage works on all that its predecessor kept.
+
+``run`` applies the stages to ``documents``; between two stages the rows are written
+as Parquet below the session's shared folder and read again.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ratebook.llm import decontaminate, jaccard, langid, mixing, sharding
+from ratebook.llm.common import small
+from ratebook.operators.staging import stage
+
+LEAST_SCORE = 0.5
+SHARDS = 40
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id is not among ``gone``."""
+    return docs.join(small(stage(gone.select("doc_id").distinct())), "doc_id", "left_anti").select(*docs.columns)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents without a letter, or whose language none of the learned ones explains.
+
+    The model learns from the stage's own rows that have a language; a document goes
+    if its calibrated probability is below one half. Rows without an id go as well,
+    since no later stage could name them.
+    """
+    model = langid.fit(docs)
+    told = langid.scored(model, F.col("text"))
+    return (
+        docs.where("doc_id IS NOT NULL")
+        .withColumn("_told", told)
+        .where((F.col("_told.lang_pred") != langid.UND) & (F.col("_told.score") >= LEAST_SCORE))
+        .select(*docs.columns)
+    )
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the least id of each group of near copies.
+
+    Rows that share an id share its group's fate; the first by text is the one that stays.
+    """
+    groups = stage(jaccard.near_duplicates(docs))
+    kept = _without(docs, groups.where("doc_id <> class_id"))
+    twice = stage(groups.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if twice.isEmpty():
+        return kept
+    first = Window.partitionBy("doc_id").orderBy("text")
+    again = kept.join(small(twice), "doc_id", "left_semi").withColumn("_at", F.row_number().over(first))
+    return _without(kept, twice).union(again.where("_at = 1").select(*docs.columns))
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold ten consecutive words of a benchmark item, or a whole shorter one."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return _without(docs, decontaminate.contamination(docs, items).where("contaminated"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeat or drop documents so that each source comes near its target.
+
+    A document is written as many times as its share of the mix rounds to, the
+    fraction decided by a seeded draw of its id.
+    """
+    told = mixing.mix(docs).select("doc_id", "size", "taken").where("size > 0")
+    draw = mixing.seeded(66, F.col("doc_id")) / float(1 << 60)
+    times = F.floor(F.col("taken") / F.col("size") + draw).cast("int")
+    often = told.groupBy("doc_id").agg(F.max(times).alias("_times")).where("_times > 0")
+    return (
+        docs.join(small(stage(often)), "doc_id")
+        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+        .select(*docs.columns)
+    )
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every remaining row's shard and slot."""
+    return sharding.shard_documents(docs, SHARDS)
+
+
+STAGES = [
+    ("language", language),
+    ("near duplicates", near_duplicates),
+    ("decontamination", clean),
+    ("mixing", mix),
+    ("sharding", shard),
+]
+
+# Two stages, a learned model and a join by random paths, are not expressible in SQL.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, work) in enumerate(STAGES):
+        docs = work(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = stage(docs)
+    return docs
