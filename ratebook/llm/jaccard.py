@@ -21,7 +21,6 @@ none; an empty table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Callable, Iterator
 
@@ -30,6 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ratebook.llm.blocks import mix, spans
 from ratebook.llm.common import small
 from ratebook.llm.components import components
 from ratebook.operators.staging import stage
@@ -47,45 +47,31 @@ _LOW = bytes.maketrans(
 )
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
-
-
-class _Names(dict):
-    """A word's 64-bit name; forgets all when it has grown large."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = value = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return value
-
-
-def shingles(text: str, names: _Names) -> np.ndarray:
+def shingles(text: str) -> np.ndarray:
     """The distinct named shingles of the folded words, sorted."""
-    words = text.encode("utf-8", "surrogatepass").translate(_LOW).split()
-    if not words:
+    raw = np.frombuffer(text.encode("utf-8", "surrogatepass").translate(_LOW), np.uint8)
+    edge = np.diff(np.concatenate([[0], (raw != 32).astype(np.int8), [0]]))
+    begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    if not len(begin):
         return np.zeros(0, np.uint64)
-    at = np.array([names[w] for w in words], np.uint64)
+    at = spans(raw.astype(np.uint64) + _U(1), begin, end)
     n = max(1, len(at) - SHINGLE + 1)
     key = np.zeros(n, np.uint64)
     for k in range(min(SHINGLE, len(at))):
-        key = _mix(key + at[k : k + n] * _U(2 * k + 3))
+        key = mix(key + at[k : k + n] * _U(2 * k + 3))
     return np.unique(key)
 
 
-def chosen(sets: np.ndarray, salt: int, expect: float) -> np.ndarray:
-    """Bucket keys of the shingles that a set chooses under ``salt``, ``expect`` on average."""
-    seed = _mix(np.array([salt], np.uint64))
-    drawn = (sets ^ seed) * (_mix(seed) | _U(1))  # names are random already
+def chosen(sets: np.ndarray, salts: np.ndarray, expect: float) -> np.ndarray:
+    """Bucket keys of the shingles that a set chooses under each salt, ``expect`` on average."""
+    seed = mix(salts)[:, None]
+    drawn = (sets[None, :] ^ seed) * (mix(seed) | _U(1))  # names are random already
     limit = expect / max(1, len(sets))
-    hit = drawn if limit >= 1 else drawn[drawn < _U(int(limit * 2**64))]
-    return _mix(hit + seed).view(np.int64)
+    met = np.ones(drawn.shape, bool) if limit >= 1 else drawn < _U(int(limit * 2**64))
+    return mix((drawn + seed)[met]).view(np.int64)
 
 
-_A = _mix(np.arange(1, SKETCH + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
+_A = mix(np.arange(1, SKETCH + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
 
 
 def sketch(sets: np.ndarray) -> bytes:
@@ -94,7 +80,7 @@ def sketch(sets: np.ndarray) -> bytes:
     for i in range(0, len(sets), 4096):
         part = (sets[i : i + 4096] >> _U(32)).astype(np.uint32)
         low = np.minimum(low, (part[None, :] * _A[:, None]).min(axis=1))
-    return (_mix(low.astype(np.uint64)) >> _U(56)).astype(np.uint8).tobytes()
+    return (mix(low.astype(np.uint64)) >> _U(56)).astype(np.uint8).tobytes()
 
 
 def runs_for(recall: float) -> int:
@@ -107,11 +93,12 @@ def _prepare(text: Column, runs: int) -> Column:
 
     @F.pandas_udf("n int, keys array<long>, sketch binary")
     def prepare(texts: pd.Series) -> pd.DataFrame:
-        names, rows = _Names(), []
+        rows, salts = [], np.arange(1, runs + 1, dtype=np.uint64)
         for t in texts:
-            s = shingles(t, names) if t is not None else ()
+            s = shingles(t) if t is not None else ()
             if len(s):
-                keys = [chosen(s, r + 1, expect) for r in range(runs)]
+                # long texts a few runs at a time
+                keys = [chosen(s, part, expect) for part in np.array_split(salts, 1 + len(s) // 100_000)]
                 rows.append((len(s), np.unique(np.concatenate(keys)), sketch(s)))
             else:
                 rows.append((0, np.zeros(0, np.int64), b""))
@@ -123,8 +110,7 @@ def _prepare(text: Column, runs: int) -> Column:
 def _sets(text: Column) -> Column:
     @F.pandas_udf("array<long>")
     def sets(texts: pd.Series) -> pd.Series:
-        names = _Names()
-        return pd.Series([shingles(t, names).view(np.int64) for t in texts])
+        return pd.Series([shingles(t).view(np.int64) for t in texts])
 
     return sets(text)
 
@@ -300,7 +286,7 @@ def buckets(docs: DataFrame, sets: DataFrame) -> DataFrame:
 
         def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
-                keys = [chosen(np.asarray(s).view(np.uint64), int(k) & 0xFFFFFFFFFFFFFFFF, FANOUT) for k, s in zip(frame["key"], frame["shingles"])]
+                keys = [chosen(np.asarray(s).view(np.uint64), np.array([k]).view(np.uint64), FANOUT) for k, s in zip(frame["key"], frame["shingles"])]
                 yield pd.DataFrame({"vid": np.repeat(frame["vid"].to_numpy(), [len(k) for k in keys]), "key": np.concatenate(keys) if keys else []})
 
         rows = sized(large.select("vid", "key").join(texts, "vid").mapInPandas(split, "vid long, key long").distinct())

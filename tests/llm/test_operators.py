@@ -145,7 +145,7 @@ def test_proximity(spark):
 def brute_links(docs):
     sets = {}
     for k, (_, t) in enumerate(docs):
-        s = jaccard.shingles(t, jaccard._Names()) if t is not None else ()
+        s = jaccard.shingles(t) if t is not None else ()
         sets[k] = set(np.asarray(s).tolist())
     near = {k: [j for j in sets if j != k and sets[k] and 5 * len(sets[k] & sets[j]) >= 4 * len(sets[k] | sets[j])] for k in sets}
     out = []
