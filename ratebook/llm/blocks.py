@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 
-from ratebook.operators.staging import stage
+from ratebook.llm.common import stage_texts
 
 BLOCK_BYTES = 16 << 20
 U = np.uint64
@@ -122,7 +122,7 @@ def pack(docs: DataFrame, text: Column, columns: list[Column], schema: str, lowe
             yield flush()
 
     raw = docs.select(*[c.alias(n) for c, n in zip(columns, names)], text.cast("binary").alias("_text"))
-    return stage(raw.mapInPandas(packed, "block long, payload binary"))
+    return stage_texts(raw.mapInPandas(packed, "block long, payload binary"))
 
 
 def bits_for(docs: DataFrame) -> int:

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ratebook.llm.blocks import mix, spans
-from ratebook.llm.common import small
+from ratebook.llm.common import small, stage_texts
 from ratebook.llm.components import components
 from ratebook.operators.staging import stage
 
@@ -282,14 +282,15 @@ def buckets(docs: DataFrame, sets: DataFrame) -> DataFrame:
         large = large.join(alike, "key", "left_anti")
         rows = large
         named = large.select("vid", "key").join(sets.select("vid", "tk"), "vid")
-        texts = stage(_texts_of(docs, named))
+        texts = stage_texts(_texts_of(docs, named))
 
         def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
                 keys = [chosen(np.asarray(s).view(np.uint64), np.array([k]).view(np.uint64), FANOUT) for k, s in zip(frame["key"], frame["shingles"])]
                 yield pd.DataFrame({"vid": np.repeat(frame["vid"].to_numpy(), [len(k) for k in keys]), "key": np.concatenate(keys) if keys else []})
 
-        rows = sized(large.select("vid", "key").join(texts, "vid").mapInPandas(split, "vid long, key long").distinct())
+        parted = large.select("vid", "key").join(texts, "vid").mapInPandas(split, "vid long, key long")
+        rows = sized(stage_texts(parted).distinct())
         leaves = leaves.unionByName(rows.where(F.col("size") <= BUCKET))
     return leaves.unionByName(rows.where(F.col("size") > BUCKET))
 
@@ -300,7 +301,7 @@ def near_duplicates(docs: DataFrame, recall: float = 0.999999) -> DataFrame:
     ``class_id`` is the least id of all texts connected by links, ``text_class`` that of
     the equal texts, ``n_links`` the number of other rows at the similarity or above.
     """
-    prepared = stage(
+    prepared = stage_texts(
         docs.select("doc_id", F.md5("text").alias("tk"), _prepare(F.col("text"), runs_for(recall)).alias("p"))
         .select("doc_id", "tk", "p.n", "p.keys", "p.sketch")
     )
@@ -324,12 +325,12 @@ def near_duplicates(docs: DataFrame, recall: float = 0.999999) -> DataFrame:
     )
     known = stage(sets.select("vid", "n", "weight", "tk", "sketch").join(paths, "vid"))
     compact = cells.join(known.select("vid", "n", "sketch", "keys"), "vid")
-    likely = stage(
+    likely = stage_texts(
         _by_cell(compact).mapInPandas(_likely, "key long, a int, b int, block int, vid long")
     )
     texts = _texts_of(docs, likely.select("vid").distinct().join(sets.select("vid", "tk"), "vid"))
     full = likely.join(texts.join(known.select("vid", "n", "weight", "keys"), "vid"), "vid")
-    found = stage(_by_cell(full).mapInPandas(_links, "vid long, links long, low long"))
+    found = stage_texts(_by_cell(full).mapInPandas(_links, "vid long, links long, low long"))
     links = found.groupBy("vid").agg(F.sum("links").alias("links"))
     joined = components(found.select(F.col("vid").alias("u"), F.col("low").alias("v")))
     tied = (

@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ratebook.llm.common import text_batches
 from ratebook.operators.staging import stage
 
 BITS = 16
@@ -62,7 +63,9 @@ def document_frequencies(texts: DataFrame, text: str = "text") -> tuple[int, np.
 
     found = texts.where(F.col(text).isNotNull()).select(text).mapInPandas(count, "id long, n long")
     total, out = 0, np.zeros(1 << BITS, np.int64)
-    for r in found.groupBy("id").agg(F.sum("n").alias("n")).collect():
+    with text_batches(texts.sparkSession):
+        sums = found.groupBy("id").agg(F.sum("n").alias("n")).collect()
+    for r in sums:
         if r["id"] < 0:
             total = r["n"]
         else:
