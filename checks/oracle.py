@@ -955,7 +955,7 @@ ORACLE["source_join"] = """SELECT CAST(year(l_shipdate) AS BIGINT) AS season, CA
 FROM lineitem LEFT JOIN orders ON l_orderkey + 1 = o_orderkey LEFT JOIN part ON l_partkey = p_partkey
 WHERE year(l_shipdate) BETWEEN 1995 AND 1997 AND l_returnflag <> 'N'"""
 ORACLE["seen_keys_join"] = """SELECT l_orderkey, l_partkey, l_quantity, o_orderpriority
-FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 49"""
+FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey"""
 ORACLE["group_mean_backjoin"] = f"""{WITH_OBS} SELECT {ENT}, unit_id, {r('v1')} AS v1, {r('v2')} AS v2,
   {r(f'avg(v1) OVER (PARTITION BY {ENT})')} AS avg_v1, {r(f'avg(v2) OVER (PARTITION BY {ENT})')} AS avg_v2 FROM obs"""
 _ALLOWED = "('ECONOMY', 'LARGE', 'PROMO')"
@@ -1031,3 +1031,18 @@ ORACLE["evaluate"] = f"""WITH raw AS ({PITCH_RAW}), g AS (SELECT level_id, exit_
   exit_velo * 0.9e0 + coalesce(launch_angle, 0) * 0.1e0 + 5 AS p FROM raw WHERE exit_velo IS NOT NULL)
 SELECT level_id, {r('sqrt(avg(pow(y - p, 2)))')} AS rmse, {r('1 - sum(pow(y - p, 2)) / (count(*) * var_pop(y))')} AS r2,
   {r('avg(abs(y - p))')} AS mae, {r('corr(y, p)')} AS correlation, count(*) AS n FROM g GROUP BY ALL"""
+
+# --- samples ------------------------------------------------------------------------------
+
+_HASH = "CAST('0x' || substr(md5('17|' || CAST(o_orderkey AS VARCHAR)), 1, 13) AS BIGINT)"
+ORACLE["hash_split"] = f"""SELECT o_orderstatus, CASE WHEN {_HASH} < (1::BIGINT << 50) THEN 'test' ELSE 'train' END AS split,
+  count(*) AS rows FROM orders GROUP BY ALL"""
+ORACLE["stratified_sample"] = f"""WITH o AS (SELECT o_orderkey, o_orderstatus, o_orderpriority, {_HASH} AS h FROM orders),
+c AS (SELECT o_orderstatus, o_orderpriority, count(*) * least(500, sum(count(*)) OVER ()) AS share, sum(count(*)) OVER () AS total
+  FROM o GROUP BY ALL),
+q AS (SELECT *, share // total AS whole,
+  row_number() OVER (ORDER BY share % total DESC, o_orderstatus, o_orderpriority) AS place FROM c),
+g AS (SELECT *, whole + CASE WHEN place <= 500 - sum(whole) OVER () THEN 1 ELSE 0 END AS quota FROM q)
+SELECT o_orderkey, o_orderstatus, o_orderpriority
+FROM (SELECT *, row_number() OVER (PARTITION BY o_orderstatus, o_orderpriority ORDER BY h) AS r FROM o)
+JOIN g USING (o_orderstatus, o_orderpriority) WHERE r <= quota"""

@@ -785,7 +785,7 @@ def source_join(spark, sf):
 @query
 def seen_keys_join(spark, sf):
     """Second source restricted to the fact's keys, then joined."""
-    li = load(spark, sf, "lineitem").filter("l_quantity >= 49").select("l_orderkey", "l_partkey", "l_quantity")
+    li = load(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
     o = load(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority")
     return li.join(J.seen_keys(o, li, ["l_orderkey"]), ["l_orderkey"], "left")
 

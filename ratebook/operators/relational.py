@@ -62,7 +62,8 @@ def dedupe(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataF
     reduced before the shuffle and a key with many copies never fills a task.
     """
     row = F.struct(*[F.col(f"`{c}`").alias(c) for c in df.columns])
-    rank = F.struct(*order, F.to_json(row))
+    content = [F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+    rank = F.struct(*order, *[c.alias(f"_{i}") for i, c in enumerate(content)], F.lit(0))
     return (
         df.groupBy(F.struct(*[F.col(k) for k in keys]).alias("_id"))
         .agg(F.min_by(row, rank).alias("_row"))

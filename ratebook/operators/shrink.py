@@ -42,6 +42,9 @@ def with_constants(long: DataFrame, constants: DataFrame, dataset: str) -> DataF
     """
     own = constants.filter(F.col("dataset") == dataset)
     on = [c for c in CONTEXT_KEYS if c in constants.columns and c in long.columns]
+    if on:
+        filled = own.agg(*[F.count(c).alias(c) for c in on]).first()
+        on = [c for c in on if filled[c]]
     return attach(long, own.select("stat", *on, "mu", "K"), ["stat", *on])
 
 

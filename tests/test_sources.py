@@ -17,6 +17,15 @@ def test_csv_round_trip_and_missing_columns(spark, tmp_path):
     assert sorted(map(tuple, back.drop("extra").collect())) == sorted(map(tuple, df.collect()))
 
 
+def test_csv_columns_are_taken_by_name(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("b,x,a\n1,q,10\n,r,z\n")
+    got = T.read_csv(spark, str(tmp_path / "t.csv"), "a long, b long, c double")
+    assert got.dtypes == [("a", "bigint"), ("b", "bigint"), ("c", "double")]
+    assert sorted(map(tuple, got.collect()), key=str) == [(10, 1, None), (None, None, None)]
+    snap = T.newest_snapshot(spark, str(tmp_path / "*.csv"), "b long, a long", "csv")
+    assert sorted(map(tuple, snap.collect()), key=str) == [(1, 10), (None, None)]
+
+
 def test_missing_input_is_an_empty_table(spark, tmp_path):
     df = T.read_or_empty(spark, str(tmp_path / "none"), "id long, v double")
     assert df.columns == ["id", "v"] and df.count() == 0

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ratebook.operators import metrics as M
 from ratebook.operators import stability as ST
+from ratebook.operators.shrink import with_constants
 
 
 def values(spark, arrays):
@@ -62,3 +63,10 @@ def test_too_few_players_give_no_constants(spark):
     df = spark.createDataFrame([(i, True) for i in range(5) for _ in range(30)], "id long, hit boolean")
     samples = ST.rate_samples(df, ["id"], [M.rate("r", "hit")])
     assert ST.rate_constants(samples, []).count() == 0
+
+
+def test_pooled_constants_have_null_keys(spark):
+    long = spark.createDataFrame([("s", 2024, 1, 3.0)], "stat string, season long, level_id long, num double")
+    pooled = spark.createDataFrame([("d", "s", None, None, 0.5, 10.0)], "dataset string, stat string, season long, level_id long, mu double, K double")
+    row = with_constants(long, pooled, "d").first()
+    assert (row["mu"], row["K"]) == (0.5, 10.0)
