@@ -1046,3 +1046,12 @@ g AS (SELECT *, whole + CASE WHEN place <= 500 - sum(whole) OVER () THEN 1 ELSE
 SELECT o_orderkey, o_orderstatus, o_orderpriority
 FROM (SELECT *, row_number() OVER (PARTITION BY o_orderstatus, o_orderpriority ORDER BY h) AS r FROM o)
 JOIN g USING (o_orderstatus, o_orderpriority) WHERE r <= quota"""
+
+# --- sources and sinks --------------------------------------------------------------------
+
+ORACLE["csv_by_name"] = """SELECT o_orderkey, o_orderstatus, o_totalprice, CAST(NULL AS BIGINT) AS o_rank,
+  CAST(NULL AS VARCHAR) AS o_note FROM orders"""
+ORACLE["fact_round_trip"] = """SELECT CAST(year(l_shipdate) AS BIGINT) AS season,
+  CASE WHEN l_linestatus = 'F' THEN 1 ELSE 11 END AS level_id, 'R' AS game_type, l_orderkey, l_linenumber, l_extendedprice
+FROM lineitem"""
+ORACLE["snapshot_newest"] = "SELECT o_orderkey, o_totalprice, 2025 AS taken FROM orders"

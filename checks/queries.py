@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,11 +24,12 @@ from ratebook.operators import similarity as SI
 from ratebook.operators import stability as ST
 from ratebook.operators.features import add_features, add_feed_features, pitch_group_from, read_sensors
 from ratebook.operators.ordered import LINEAR, NEAREST, grouped_quantiles, unpack
-from ratebook.operators.staging import stage
+from ratebook.operators.staging import shared_folder, stage
 from ratebook.plans import feed as FEED
 from ratebook.plans import products as PR
 from ratebook.plans import regress as RG
 from ratebook.plans import specs as S
+from ratebook.sources import tables as T
 from ratebook.sources.tables import regular_season
 
 from .fixtures import OFF_HALF, WIDE_RANGE, feed_raw, load, obs, pitch_raw
@@ -1024,3 +1026,40 @@ def stratified_sample(spark, sf):
 def hash_split(spark, sf):
     o = SA.hash_split(load(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), ["o_orderkey"])
     return o.groupBy("o_orderstatus", "split").agg(F.count("*").alias("rows"))
+
+
+# --- sources and sinks: written to the shared folder and read back -------------------------
+
+
+def _folder(spark) -> str:
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
+
+@query
+def csv_by_name(spark, sf):
+    """Columns in another order than the contract's, one of them missing."""
+    path = _folder(spark)
+    T.write_csv(load(spark, sf, "orders").select("o_totalprice", "o_orderkey", "o_orderstatus"), path)
+    schema = "o_orderkey long, o_orderstatus string, o_totalprice double, o_rank long"
+    return T.read_feed(spark, path, schema, {"o_orderkey": "bigint", "o_note": "string"})
+
+
+@query
+def fact_round_trip(spark, sf):
+    df = load(spark, sf, "lineitem").select(
+        F.year("l_shipdate").cast("bigint").alias("season"),
+        F.when(F.col("l_linestatus") == "F", 1).otherwise(11).alias("level_id"),
+        F.lit("R").alias("game_type"), "l_orderkey", "l_linenumber", "l_extendedprice",
+    )
+    path = _folder(spark)
+    T.write_fact(df, path)
+    return T.regular_season(T.read_parquet(spark, path), 1900, 2100, [1, 11])
+
+
+@query
+def snapshot_newest(spark, sf):
+    root = _folder(spark)
+    for year in (2023, 2025, 2024):
+        df = load(spark, sf, "orders").select("o_orderkey", "o_totalprice", F.lit(year).alias("taken"))
+        df.write.parquet(f"{root}/orders_{year}.parquet")
+    return T.preferred_or_newest(spark, f"{root}/none.parquet", f"{root}/orders_*.parquet")
