@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 
 from ratebook.llm.common import stage_texts
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 U = np.uint64
 _BASE = U(0x2545F4914F6CDD1B)
 ASK = "bucket int, block long, keys binary, told binary"
