@@ -66,11 +66,14 @@ class Page(HTMLParser):
         self.tags, self.parents, self.against, self.hinted = ["#page"], [-1], [False], [False]
         self.chars, self.linked = [0], [0]
         self.runs: list[tuple[int, list[str]]] = []
-        self.open, self.links, self.unseen = [0], 0, 0
+        self.open, self.links = [0], 0
+        self.unseen: list[str] = []  # an unseen element and what is open inside it
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in UNSEEN:
-            self.unseen += 1
+            if tag == "option" and tag in self.unseen:  # ends the one before
+                self.handle_endtag(tag)
+            self.unseen.append(tag)
             return
         if tag == "br":
             self._text(" ")
@@ -78,9 +81,11 @@ class Page(HTMLParser):
             if tag == "hr":
                 self.runs.append((self.open[-1], []))
             return
-        if tag == "body" and self.unseen:  # an unclosed head
-            self.unseen = 0
+        if tag == "body" or self.unseen == ["head"]:  # ends a head that is not closed
+            self.unseen = []
         if self.unseen:
+            if tag not in INLINE:
+                self.unseen.append(tag)
             return
         if tag in INLINE:
             self.links += tag == "a"
@@ -118,11 +123,17 @@ class Page(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
+        if tag in self.unseen:
+            del self.unseen[len(self.unseen) - 1 - self.unseen[::-1].index(tag) :]
+            return
         if tag in UNSEEN:
-            self.unseen = max(0, self.unseen - 1)
-        elif tag in INLINE:
-            self.links = max(0, self.links - (tag == "a"))
-        elif not self.unseen:
+            return
+        if tag in INLINE:
+            self.links = max(0, self.links - (tag == "a" and not self.unseen))
+        else:
+            if self.unseen and (tag == "p" or not any(self.tags[k] == tag for k in self.open)):
+                return
+            self.unseen = []  # left open inside the element that ends here
             for k in range(len(self.open) - 1, 0, -1):
                 name = self.tags[self.open[k]]
                 if name == tag:
@@ -230,7 +241,7 @@ class Tree:
     PRIOR = {
         "named=1|1": 50.0, "named=1|0": 0.5, "hint=1|1": 200.0, "hint=1|0": 0.5,
         "box|1|1": 200.0, "box|1|0": 1.0, "named|1|1": 200.0, "named|1|0": 1.0,
-        "box|0|1": 5.0, "box|0|0": 100.0, "page|0|1": 20.0, "page|0|0": 80.0,
+        "box|0|1": 5.0, "box|0|0": 100.0, "page|0|1": 20.0, "page|0|0": 80.0, "named|0|1": 1.0, "named|0|0": 200.0,
     }
     VALUES = {
         "look": tuple(

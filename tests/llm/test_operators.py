@@ -333,6 +333,8 @@ def test_extraction(spark):
         (105, "u", page("<header>Site</header><div id='content'><h2>Title</h2><p>" + LONG + "</p></div><div class='sidebar'><p>" + LONG + "</p></div>")),
         (106, "u", page("<article>" + "<p>x y</p>" * 5000 + "</article>")),
         (107, "u", "<article><p>cut o"), (107, "u", "<article><p>cut o"),
+        (108, "u", page("<article><select><option>A<option>B</select><p>one</p><div><button>go</div><p>two</p><svg><title>t</title><g><text>v</text></g></svg> three</article>")),
+        (109, "u", "<html><head><title>T</title><article><p>" + LONG + "</p></article></html>"),
     ]
     df = spark.createDataFrame(pages() + special, "page_id long, url string, html string")
     got = {r["page_id"]: r["text"] for r in extract.extract(df, extract.learn(df)).collect()}
@@ -342,6 +344,7 @@ def test_extraction(spark):
     assert got[104] == "A&B cd e f g h"
     assert got[105] == "Title " + LONG.strip()
     assert got[106] == " ".join(["x y"] * 5000) and got[107] == "cut o"
+    assert got[108] == "one two three" and got[109] == LONG.strip()
 
 
 def test_extraction_without_names(spark):
