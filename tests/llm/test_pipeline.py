@@ -44,3 +44,16 @@ def test_stages_of_nothing(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_keep_columns_named_like_their_own(spark, tmp_path):
+    extra = ["_told", "_at", "_times", "_copy", "count", "class_id", "size", "_shard"]
+    docs = documents(spark).selectExpr("*", *[f"doc_id AS `{c}`" for c in extra])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, words(9000, 12))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = docs
+    for _, work in pipeline.STAGES[:-1]:
+        kept = work(spark, kept, str(tmp_path))
+        assert kept.columns == docs.columns and kept.dtypes == docs.dtypes
+        assert kept.where(" OR ".join(f"`{c}` <> doc_id" for c in extra)).count() == 0
+    assert kept.count() > 0
