@@ -17,6 +17,14 @@ LEAST_SCORE = 0.5
 SHARDS = 40
 
 
+def _fresh(docs: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``docs`` has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose id is not among ``gone``."""
     return docs.join(small(stage(gone.select("doc_id").distinct())), "doc_id", "left_anti").select(*docs.columns)
@@ -30,11 +38,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     since no later stage could name them.
     """
     model = langid.fit(docs)
-    told = langid.scored(model, F.col("text"))
+    name = _fresh(docs, "_told")
+    told = F.col(name)
     return (
         docs.where("doc_id IS NOT NULL")
-        .withColumn("_told", told)
-        .where((F.col("_told.lang_pred") != langid.UND) & (F.col("_told.score") >= LEAST_SCORE))
+        .withColumn(name, langid.scored(model, F.col("text")))
+        .where((told["lang_pred"] != langid.UND) & (told["score"] >= LEAST_SCORE))
         .select(*docs.columns)
     )
 
@@ -50,8 +59,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     if twice.isEmpty():
         return kept
     first = Window.partitionBy("doc_id").orderBy("text")
-    again = kept.join(small(twice), "doc_id", "left_semi").withColumn("_at", F.row_number().over(first))
-    return _without(kept, twice).union(again.where("_at = 1").select(*docs.columns))
+    at = _fresh(docs, "_at")
+    again = kept.join(small(twice), "doc_id", "left_semi").withColumn(at, F.row_number().over(first))
+    return _without(kept, twice).union(again.where(F.col(at) == 1).select(*docs.columns))
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,10 +79,11 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     told = mixing.mix(docs).select("doc_id", "size", "taken").where("size > 0")
     draw = mixing.seeded(66, F.col("doc_id")) / float(1 << 60)
     times = F.floor(F.col("taken") / F.col("size") + draw).cast("int")
-    often = told.groupBy("doc_id").agg(F.max(times).alias("_times")).where("_times > 0")
+    count, copy = _fresh(docs, "_times"), _fresh(docs, "_copy")
+    often = told.groupBy("doc_id").agg(F.max(times).alias(count)).where(F.col(count) > 0)
     return (
         docs.join(small(stage(often)), "doc_id")
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+        .withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(count))))
         .select(*docs.columns)
     )
 
