@@ -35,6 +35,12 @@ def where(value: str, pred: str | None) -> str:
     return value if pred is None else f"(CASE WHEN {pred} THEN {value} END)"
 
 
+def exact(v: str, pred: str | None = None) -> str:
+    """A mean of decimals with 12 places; the text step makes the double the nearest one."""
+    v = where(v, pred)
+    return f"(CAST(CAST(sum(CAST({v} AS DECIMAL(28, 12))) AS VARCHAR) AS DOUBLE) / nullif(count({v}), 0))"
+
+
 def nearest(v: str, q: float) -> str:
     return (
         f"(list_sort(list({v}) FILTER (WHERE {v} IS NOT NULL)))"
@@ -216,7 +222,7 @@ _HIT_RATES = [
     ("hittable_pitches_taken", "decision_value < 0 AND NOT swing", "NOT swing"),
     *_BATTED("<"),
 ]
-_LOC = "avg(pred_whiff_loc) FILTER (WHERE swing)"
+_LOC = exact("pred_whiff_loc", "swing")
 _CONTACT = f"100e0 * ({_LOC} - {frac('whiff', 'swing')})"
 _SEAGER = (
     f"{pct('decision_value > 0 AND NOT swing', 'decision_value > 0')} - "
@@ -237,7 +243,7 @@ def _rates(rates, rd, parts=True):
 def _means(pairs, rd, parts=True):
     out = []
     for n, v, p, scale in pairs:
-        e = f"{scale}e0 * avg({where(v, p)})"
+        e = f"{scale}e0 * {exact(v, p)}"
         out.append(f"{r(e) if rd else e} AS {n}")
         if parts:
             out.append(f"count({where(v, p)}) AS {n}_n")
@@ -317,7 +323,7 @@ _SHAPE = [
 def pitch_types_sql(rd: bool = True) -> str:
     w = (lambda e: r(e)) if rd else (lambda e: e)
     cols = [
-        "count(*) AS pitches", f"{w('100e0 * count(*) / sum(pitch_of_ab)')} AS pct",
+        "count(*) AS pitches", f"{w('100e0 * (count(*) / sum(pitch_of_ab)::DOUBLE)')} AS pct",
         *_means([(n, v, None, 1) for n, v in _SHAPE], rd),
         f"{w('max(pitch_velo)')} AS max_velo", "count(pitch_velo) AS max_velo_n",
         *_rates(_OUT, rd), *_means([("pred_whiff_pct", "pred_whiff_base", "swing", 100)], rd),
@@ -448,14 +454,14 @@ _FOUT = [
     ("Z_Contact", "swing AND is_inzone AND is_contact", "swing AND is_inzone"),
     ("Chase", "swing AND NOT is_inzone", "NOT is_inzone"),
 ]
-_FCSW = "100e0 * (count(*) FILTER (WHERE whiff) + count(*) FILTER (WHERE called_strike)) / count(*)"
+_FCSW = pct("whiff OR called_strike")
 _ABSENT = 'CAST(NULL AS DOUBLE) AS "std.ZQ", CAST(NULL AS DOUBLE) AS "std.DMG", CAST(NULL AS DOUBLE) AS "std.NRV"'
 _FEED_PITCHERS = f"""SELECT level_id, pitcher_hand, pitcher_mlbid, pitcher_name AS name, season, pitching_code,
   count(DISTINCT pa_id) / count(DISTINCT game_pk)::DOUBLE AS TBF_per_G, count(*) AS pitches,
   count(DISTINCT pa_id) AS TBF, sum(outs_on_play) / 3e0 AS IP, {_ABSENT},
-  avg(pitch_velo) FILTER (WHERE pitch_group = 'FA') AS fastball_velo, max(pitch_velo) AS max_velo,
+  {exact('pitch_velo', "pitch_group = 'FA'")} AS fastball_velo, max(pitch_velo) AS max_velo,
   CAST(NULL AS DOUBLE) AS fastball_vaa, {', '.join(_rates(_FOUT, False, False))}, {_FCSW} AS CSW,
-  avg(release_pos_z) AS rel_z, avg(release_pos_x) AS rel_x, avg(release_extension) AS ext
+  {exact('release_pos_z')} AS rel_z, {exact('release_pos_x')} AS rel_x, {exact('release_extension')} AS ext
 FROM feed GROUP BY {_FP}"""
 WITH_FP = f"{WITH_FEED}, p AS ({_FEED_PITCHERS})"
 _FPM = ["TBF_per_G", "IP", '"std.ZQ"', '"std.DMG"', '"std.NRV"', "fastball_velo", "max_velo", "fastball_vaa",
@@ -470,8 +476,8 @@ ORACLE["feed_league_pitching"] = f"{WITH_FP} " + _mean_of("p", "level_id, season
 _FEED_TYPES = f"""SELECT pitcher_name AS name, level_id, pitcher_mlbid, pitcher_hand, pitching_code, season, pitch_tag,
   count(*) AS pitches,
   100e0 * count(*) / sum(count(*)) OVER (PARTITION BY pitcher_mlbid, level_id, season) AS pct, {_ABSENT},
-  avg(pitch_velo) AS velo, max(pitch_velo) AS max_velo, CAST(NULL AS DOUBLE) AS vaa, CAST(NULL AS DOUBLE) AS haa,
-  avg(ivb) AS ivb, avg(hb) AS hb, {', '.join(_rates(_FOUT, False, False))}, {_FCSW} AS CSW,
+  {exact('pitch_velo')} AS velo, max(pitch_velo) AS max_velo, CAST(NULL AS DOUBLE) AS vaa, CAST(NULL AS DOUBLE) AS haa,
+  {exact('ivb')} AS ivb, {exact('hb')} AS hb, {', '.join(_rates(_FOUT, False, False))}, {_FCSW} AS CSW,
   {pct('is_inzone')} AS Zone FROM feed GROUP BY {_FP}, pitch_tag"""
 WITH_FT = f"{WITH_FEED}, ty AS ({_FEED_TYPES})"
 _FTM = ["pct", '"std.ZQ"', '"std.DMG"', '"std.NRV"', "velo", "max_velo", "vaa", "haa", "ivb", "hb", "SwStr",
@@ -482,10 +488,8 @@ ORACLE["feed_pitch_types"] = f"""{WITH_FT} SELECT name, level_id, pitcher_mlbid,
 # --- percentiles ------------------------------------------------------------------
 
 
-def avg_rank_pct(m: str, group: str, places: int = 0) -> str:
+def avg_rank_pct(m: str, group: str) -> str:
     """Average rank over the group, 0-100 by the number of all its rows."""
-    if places:
-        m = f"round(CAST({m} AS DOUBLE), {places})"
     rank = (
         f"(rank() OVER (PARTITION BY {group} ORDER BY {m} NULLS LAST)"
         f" + (count(*) OVER (PARTITION BY {group}, {m}) - 1) / 2e0)"
@@ -494,12 +498,10 @@ def avg_rank_pct(m: str, group: str, places: int = 0) -> str:
     return f"CASE WHEN {n} > 1 THEN CASE WHEN {m} IS NOT NULL THEN 100e0 * ({rank} - 1) / ({n} - 1) END ELSE 100 END"
 
 
-def bins_sql(src: str, keys: str, group: str, metrics: list[str], qualified: str, places: int = 0) -> str:
+def bins_sql(src: str, keys: str, group: str, metrics: list[str], qualified: str) -> str:
     """1-100 bins by the distinct linear quantile edges of the qualified rows."""
     gs = [g.strip() for g in group.split(",")]
-    t9 = lambda m: f"round(t.{m}, {places})" if places else f"t.{m}"
-    p9 = lambda m: f"round({m}, {places})" if places else m
-    lists = ", ".join(f"list_sort(list({p9(m)}) FILTER (WHERE {m} IS NOT NULL)) AS v_{m}" for m in metrics)
+    lists = ", ".join(f"list_sort(list({m}) FILTER (WHERE {m} IS NOT NULL)) AS v_{m}" for m in metrics)
     edge = lambda m: (
         f"list_distinct([v_{m}[CAST(floor((len(v_{m}) - 1) * (i / 100e0)) AS BIGINT) + 1]"
         f" + (v_{m}[CAST(ceil((len(v_{m}) - 1) * (i / 100e0)) AS BIGINT) + 1]"
@@ -511,7 +513,7 @@ def bins_sql(src: str, keys: str, group: str, metrics: list[str], qualified: str
     same = " AND ".join(f"t.{g} = e.{g}" for g in gs)
     out = ", ".join(
         f"CASE WHEN {qualified} AND t.{m} IS NOT NULL AND len(e_{m}) > 1 THEN"
-        f" greatest(1, len(list_filter(e_{m}, lambda x: x < {t9(m)}))) END AS {m}_pctile"
+        f" greatest(1, len(list_filter(e_{m}, lambda x: x < t.{m}))) END AS {m}_pctile"
         for m in metrics
     )
     return f""", pool AS (SELECT * FROM {src} WHERE {qualified} AND {present}),
@@ -541,23 +543,23 @@ ORACLE["pctile_qcut"] = f"{WITH_TABLE}" + bins_sql(
 ORACLE["hitter_pctiles"] = f"{WITH_PITCH}, h AS ({hitters_sql(False)})" + bins_sql(
     "h", HKEYS, "season, level_id",
     ["SEAGER", "selection_skill", "hittable_pitches_taken", "damage_rate", "EV90th", "max_EV", "pull_FB_pct",
-     "chase", "z_con", "secondary_whiff_pct", "whiffs_vs_95", "contact_vs_avg"], "PA >= 40", 9)
+     "chase", "z_con", "secondary_whiff_pct", "whiffs_vs_95", "contact_vs_avg"], "PA >= 40")
 
 _FHP = {"selection_skill": "selection", "hittable_pitches_taken": "hittable_pitches", "damage_rate": "damage",
         "EV90th": "EV90", "max_EV": "max", "pull_FB_pct": "pfb", "secondary_whiff_pct": "sec_whiff",
         "contact_vs_avg": "c_vs_avg"}
 ORACLE["feed_hitter_pctiles"] = f"""{WITH_FH} SELECT batter_mlbid, hitter_name, season, level_id, hitting_code,
-  {', '.join(f"{r(avg_rank_pct(m, 'season, level_id', 9))} AS {_FHP.get(m, m)}_pctile" for m in _FH_METRICS)},
+  {', '.join(f"{r(avg_rank_pct(m, 'season, level_id'))} AS {_FHP.get(m, m)}_pctile" for m in _FH_METRICS)},
   pitches, bbe, PA FROM h"""
 _PSHORT = {'"std.ZQ"': "PQ", '"std.DMG"': "DMG", '"std.NRV"': "NRV", "Ball_pct": "Ball", "Z_Contact": "Z_con"}
 _FPP = {**_PSHORT, "fastball_velo": "FA_velo", "max_velo": "FA_max", "fastball_vaa": "FA_vaa", "rel_z": "rZ", "rel_x": "rX"}
 ORACLE["feed_pitcher_pctiles"] = f"""{WITH_FP} SELECT pitcher_mlbid, name, season, level_id, pitching_code,
-  {', '.join(f"{r(avg_rank_pct(m, 'season, level_id', 9))} AS {_FPP.get(m, m)}_pctile" for m in _FPM[2:])},
+  {', '.join(f"{r(avg_rank_pct(m, 'season, level_id'))} AS {_FPP.get(m, m)}_pctile" for m in _FPM[2:])},
   TBF, {r('IP')} AS IP FROM p"""
 _FTP = {**_PSHORT, "pct": "usage", "Zone": "zone"}
 ORACLE["feed_pitch_type_pctiles"] = f"""{WITH_FT} SELECT pitcher_mlbid, name, season, level_id, pitching_code,
   pitch_tag, pitcher_hand,
-  {', '.join(f"{r(avg_rank_pct(m, 'season, level_id, pitch_tag', 9))} AS {_FTP.get(m, m)}_pctile" for m in _FTM)},
+  {', '.join(f"{r(avg_rank_pct(m, 'season, level_id, pitch_tag'))} AS {_FTP.get(m, m)}_pctile" for m in _FTM)},
   pitches FROM ty"""
 
 # --- grades -------------------------------------------------------------------------
@@ -610,11 +612,11 @@ _G2 = graded_sql(10, 5)
 ORACLE["pitcher_pctiles"] = _G2 + bins_sql(
     "arms", PKEYS, "season, level_id",
     ["stuff", "fastball_velo", "max_velo", "fastball_vaa", "SwStr", "Ball_pct", "Z_Contact", "Chase", "CSW",
-     "rel_z", "rel_x", "ext"], "IP >= 2", 9)
+     "rel_z", "rel_x", "ext"], "IP >= 2")
 ORACLE["pitch_type_pctiles"] = _G2 + bins_sql(
     "ty", TKEYS, "season, level_id, pitch_tag",
     ["pct", "stuff", "velo", "max_velo", "vaa", "haa", "vbreak", "hbreak", "SwStr", "Ball_pct", "Z_Contact",
-     "Chase", "CSW"], "pitches >= 5", 9)
+     "Chase", "CSW"], "pitches >= 5")
 ORACLE["grade_z"] = f"""{WITH_OBS}, e AS (SELECT entity_id, season, level_id, tag_src, avg(v2) AS stuff_raw FROM obs GROUP BY ALL),
 s AS (SELECT season, tag_src, avg(stuff_raw) AS m, stddev_samp(stuff_raw) AS d FROM e WHERE level_id = 1 GROUP BY ALL),
 z AS (SELECT e.*, CASE WHEN d > 0 THEN (stuff_raw - m) / d END AS stuff_z FROM e LEFT JOIN s USING (season, tag_src))

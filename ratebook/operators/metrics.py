@@ -13,7 +13,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -25,6 +25,10 @@ from .ordered import LINEAR, NEAREST, grouped_quantiles, key_struct, unpack
 # Names a spec may use instead of a predicate.
 ALIASES = {"pitches": "*", "swings": "swing", "bbe": "bbe"}
 
+# Means add up decimals, so that no order of addition shows and equal means are equal
+# bit by bit. Values have 12 decimal places and up to 16 digits before the point.
+EXACT = "DECIMAL(28, 12)"
+
 ADDITIVE = {"count", "rate", "mean", "sum", "max"}
 FROM_ROWS = {"distinct", "list", "quantile"}
 KINDS = ADDITIVE | FROM_ROWS | {"derived"}
@@ -184,10 +188,16 @@ class States:
         return self._state("count", predicate)
 
     def _n(self, m: Metric) -> str:
-        return self._count(m.n or f"({m.measured}) IS NOT NULL")
+        present = f"({m.measured}) IS NOT NULL"
+        if m.kind == "mean":  # NaN is no value
+            present += f" AND NOT isnan({m.measured})"
+        return self._count(m.n or present)
 
     def first_pass(self) -> list[Column]:
-        make = {"count": "count_if({})", "sum": "sum({})", "max": "max({})"}
+        make = {
+            "count": "count_if({})", "sum": "sum({})", "max": "max({})",
+            "exact": f"sum(CAST(({{}}) AS {EXACT}))",
+        }
         return [
             F.expr("count(*)" if (fn, text) == ("count", "*") else make[fn].format(text)).alias(name)
             for (fn, text), name in self._names.items()
@@ -212,8 +222,8 @@ class States:
                 out += [f"{num} AS `{m.name}_num`", f"{den} AS `{m.name}_den`"]
             return out
         if m.kind == "mean":
-            n = self._count(f"({m.measured}) IS NOT NULL")
-            out = [f"{scale}{_ratio(self._state('sum', m.measured), n)} AS `{m.name}`"]
+            n = self._n(replace(m, n=None))
+            out = [f"{scale}{_ratio(self._state('exact', m.measured), n)} AS `{m.name}`"]
         else:
             out = [f"{scale}{self._state('max', m.measured)} AS `{m.name}`"]
         if m.parts:
@@ -260,8 +270,7 @@ def aggregate(
     else:
         base = parts.groupBy(key_struct(keys)).agg(*states.merge())
     wide = base.selectExpr("_g", *states.finals)
-    # Metrics over the same value share one pass: a list and a distinct count
-    # both start from the distinct (group, value) pairs.
+    # Each distinct count and list reads its own columns of the rows once more.
     for m in metrics:
         if m.kind == "distinct":
             wide = wide.join(_distinct(df, keys, m), "_g", "left")

@@ -36,8 +36,6 @@ PITCHER_KEYS = [
 ]
 PITCH_TYPE_KEYS = [*PITCHER_KEYS, "pitch_tag"]
 POSITION_COLUMNS = [p for p in POSITIONS if p != "NA"]
-# Published means that agree to this many places are one value in a ranking.
-TIE_PLACES = 9
 # Scores of models the feed does not have.
 ABSENT = ["std.ZQ", "std.DMG", "std.NRV"]
 
@@ -197,7 +195,7 @@ PITCH_TYPE_METRICS = [
 def hitter_pctiles(hitters: DataFrame) -> DataFrame:
     keys = HITTER_KEYS
     out = percentile_table(
-        hitters, keys, ["season", "level_id"], HITTER_METRICS, "average_rank", tie_places=TIE_PLACES
+        hitters, keys, ["season", "level_id"], HITTER_METRICS, "average_rank"
     )
     return project(
         out,
@@ -231,8 +229,7 @@ _SHORT = {
 def pitcher_pctiles(pitchers: DataFrame) -> DataFrame:
     keys = ["pitcher_mlbid", "name", "level_id", "season", "pitching_code", "pitcher_hand"]
     out = percentile_table(
-        pitchers, keys, ["season", "level_id"], PITCHER_METRICS, "average_rank",
-        tie_places=TIE_PLACES,
+        pitchers, keys, ["season", "level_id"], PITCHER_METRICS, "average_rank"
     )
     return project(
         out,
@@ -257,8 +254,7 @@ def pitch_type_pctiles(types: DataFrame) -> DataFrame:
         "pitch_tag",
     ]
     out = percentile_table(
-        types, keys, ["season", "level_id", "pitch_tag"], PITCH_TYPE_METRICS, "average_rank",
-        tie_places=TIE_PLACES,
+        types, keys, ["season", "level_id", "pitch_tag"], PITCH_TYPE_METRICS, "average_rank"
     )
     return project(
         out,
