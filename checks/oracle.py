@@ -367,6 +367,9 @@ ORACLE["league_hitting"] = f"{WITH_PITCH} {group_hitting_sql('level_id, season',
 ORACLE["team_pitching"] = f"{WITH_PITCH} {group_pitching_sql('pitching_code, level_id, season', 'pitching_code')}"
 ORACLE["league_pitching"] = f"{WITH_PITCH} {group_pitching_sql('level_id, season', None)}"
 ORACLE["split_by_hand"] = f"{WITH_PITCH} {group_hitting_sql('level_id, season, pitcher_hand', None, False)}"
+for _by, _column in (("side", "batter_hand"), ("half", "half_inning"), ("month", "month(game_date)")):
+    _split = group_hitting_sql(f"level_id, season, {_by}", None, False).replace("FROM pitch", "FROM parted")
+    ORACLE[f"split_by_{_by}"] = f"{WITH_PITCH}, parted AS (SELECT *, {_column} AS {_by} FROM pitch) {_split}"
 ORACLE["league_pitch_types"] = f"""{WITH_PITCH}
 SELECT season, level_id, pitch_tag, count(*) AS pitches,
   {', '.join(_means([(n, v, None, 1) for n, v in _SHAPE], True))},
@@ -858,6 +861,33 @@ SELECT 'hitters' AS dataset, batter_mlbid, NULL AS pitcher_mlbid, season, level_
 UNION ALL SELECT 'pitchers', NULL, pitcher_mlbid, season, level_id, NULL, {_TAIL} FROM b
 UNION ALL SELECT 'pitch_types', NULL, pitcher_mlbid, season, level_id, pitch_tag, {_TAIL} FROM c"""
 
+ORACLE["constants_pitchers"] = f"""{WITH_PITCH}, c AS ({_ARM5})
+SELECT dataset, kind, level_id, stat, n_players, {items([(c, c) for c in _ALLC])} FROM c"""
+_PCTARM = "x.stat = 'pWhiff'"
+_p, _cols = _wide([n for n, *_ in _REG_ARM_RATES], [n for n, *_ in _REG_ARM_MEANS] + ["max_velo"])
+ORACLE["regressed_pitchers"] = f"""{WITH_PITCH}, s AS ({shrunk(_ARM_CELLS, _ARM5, _ON, _PCTARM)}),
+names AS (SELECT {_AK}, min(name) AS name, min(pitcher_hand) AS pitcher_hand FROM pitch GROUP BY {_AK})
+SELECT {_AK}, any_value(name) AS name, any_value(pitcher_hand) AS pitcher_hand, {', '.join(_cols)}
+FROM names LEFT JOIN s USING ({_AK}) GROUP BY {_AK}"""
+
+
+def _from_table(table: str, keys: str, rates: list, means: list, percent: str, const: str, on: str) -> str:
+    """Regressed statistics of a published table; ``percent`` is its one mean in percent."""
+    values = [n for n, *_ in means] + ["max_velo"]
+    cells = " UNION ALL ".join(
+        [f"SELECT {keys}, '{s}' AS stat, {s}_num::DOUBLE AS num, {s}_den AS n, NULL::DOUBLE AS value FROM tab WHERE {s}_den > 0"
+         for s, *_ in rates]
+        + [f"SELECT {keys}, '{s}', NULL, {s}_n, {s}{' / 100e0' if s == percent else ''} FROM tab WHERE {s}_n > 0" for s in values])
+    _, cols = _wide([], [*[n for n, *_ in rates], *values])
+    return f"""{WITH_PITCH}, tab AS ({table}), s AS ({shrunk(cells, const, on, f"x.stat = '{percent}'")})
+SELECT {keys}, {', '.join(cols)} FROM s GROUP BY {keys}"""
+
+
+ORACLE["regressed_pitchers_from_table"] = _from_table(
+    pitchers_sql(False), PKEYS, _REG_ARM_RATES, _REG_ARM_MEANS, "pWhiff", _ARM5, _ON)
+ORACLE["regressed_pitch_types_from_table"] = _from_table(
+    pitch_types_sql(False), TKEYS, _REG_OUT, _REG_TYPE_MEANS, "pred_whiff_pct", _TYPE_CONST, _ON_TAG)
+
 # --- similarity -------------------------------------------------------------------------
 
 
@@ -948,6 +978,7 @@ FROM obs GROUP BY ALL"""
 _LOOSE = pct("miss OR (side = 'O' AND NOT in_zone)", "attempt")
 ORACLE["metric_spec_text"] = f"""{WITH_OBS} SELECT team, season, {r(pct('miss'))} AS miss_rate, {r(_LOOSE)} AS loose,
   {r("avg(v2) FILTER (WHERE side IN ('F', 'P'))")} AS v2_ab, {r('max(v1) FILTER (WHERE v1 > 5 AND v1 < 45)')} AS v1_f,
+  {r(pct("side IN ('F', 'P') AND NOT in_zone", "side NOT IN ('P')"))} AS listed,
   {r(pct('miss') + ' - ' + _LOOSE)} AS gap FROM obs GROUP BY ALL"""
 
 # --- joins --------------------------------------------------------------------------------
@@ -956,6 +987,11 @@ ORACLE["source_join"] = """SELECT CAST(year(l_shipdate) AS BIGINT) AS season, CA
   l_orderkey, l_linenumber, l_partkey, l_quantity, o_orderstatus, o_totalprice, p_brand
 FROM lineitem LEFT JOIN orders ON l_orderkey + 1 = o_orderkey LEFT JOIN part ON l_partkey = p_partkey
 WHERE year(l_shipdate) BETWEEN 1995 AND 1997 AND l_returnflag <> 'N'"""
+ORACLE["multi_key_join"] = """WITH t AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, max(l_tax) AS tracked
+  FROM lineitem WHERE l_returnflag <> 'N' GROUP BY ALL),
+s AS (SELECT l_orderkey, l_partkey, l_suppkey, max(l_discount) AS seen FROM lineitem WHERE l_linestatus = 'F' GROUP BY ALL)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, tracked, seen FROM lineitem
+LEFT JOIN t USING (l_orderkey, l_linenumber, l_partkey, l_suppkey) LEFT JOIN s USING (l_orderkey, l_partkey, l_suppkey)"""
 ORACLE["seen_keys_join"] = """SELECT l_orderkey, l_partkey, l_quantity, o_orderpriority
 FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey"""
 ORACLE["group_mean_backjoin"] = f"""{WITH_OBS} SELECT {ENT}, unit_id, {r('v1')} AS v1, {r('v2')} AS v2,
@@ -994,12 +1030,15 @@ SELECT entity_name AS "Name", season AS "Season", level_id AS "Level", n AS "N",
 ORACLE["filter_ops"] = """SELECT p_partkey, p_name, p_brand, p_size, p_retailprice FROM part
 WHERE p_size BETWEEN 10 AND 30 AND p_retailprice >= 950 AND regexp_matches(p_name, 'R.*G', 'i') AND p_brand <> 'Brand#11'
   AND p_size NOT IN (12, 13)"""
+ORACLE["filter_compare"] = """SELECT l_orderkey, l_linenumber, l_quantity, l_discount, l_tax FROM lineitem
+WHERE l_linenumber = 2 AND l_quantity <= 30 AND l_quantity > 3 AND l_discount > l_tax"""
 ORACLE["filter_all_aware"] = """SELECT o_orderkey, o_orderstatus, o_orderpriority, o_totalprice FROM orders
 WHERE o_orderstatus IN ('F', 'O') AND o_totalprice >= 100000"""
 ORACLE["training_filter"] = f"""{WITH_PITCH} SELECT season, pitch_group, count(*) AS rows FROM feat
 WHERE pitch_group IN ('FA', 'BR', 'OFF') AND pitch_velo >= 80 AND home_team <> 'H3' AND pitch_outcome <> 'X' AND strikes = 2
   AND ext IS NOT NULL AND inf_rpm IS NOT NULL GROUP BY ALL"""
 ORACLE["page"] = "SELECT c_custkey, c_name, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 50 OFFSET 100"
+ORACLE["page_all"] = "SELECT c_custkey, c_name, c_acctbal FROM customer"
 ORACLE["distinct_options"] = f"""{WITH_OBS} SELECT DISTINCT CAST(season AS VARCHAR) AS "option" FROM obs
 UNION ALL SELECT DISTINCT team FROM obs WHERE team IS NOT NULL"""
 

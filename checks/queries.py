@@ -270,6 +270,26 @@ def split_by_hand(spark, sf):
     return rounded(PR.splits(pitch(spark, sf), ["level_id", "season"], "pitcher_hand", metrics))
 
 
+def _split(spark, sf, by):
+    metrics = [m for m in S.TEAM_HITTING if m.kind not in ("quantile",)]
+    return rounded(PR.splits(pitch(spark, sf), ["level_id", "season"], by, metrics))
+
+
+@query
+def split_by_side(spark, sf):
+    return _split(spark, sf, "side")
+
+
+@query
+def split_by_half(spark, sf):
+    return _split(spark, sf, "half")
+
+
+@query
+def split_by_month(spark, sf):
+    return _split(spark, sf, "month")
+
+
 @query
 def league_pitch_types(spark, sf):
     keys = ["season", "level_id", "pitch_tag"]
@@ -503,6 +523,37 @@ def regressed_pitch_types(spark, sf):
     return rounded(RG.regress_facts(df, constants, "pitch_types", places=None)[0])
 
 
+def _constants_of(df, dataset):
+    return RG.stability_constants(df, {dataset: S.REGRESSED[dataset]}, min_denom=5, min_players=3)
+
+
+@query
+def constants_pitchers(spark, sf):
+    return rounded(_constants_of(pitch(spark, sf), "pitchers"))
+
+
+@query
+def regressed_pitchers(spark, sf):
+    df = pitch(spark, sf)
+    return rounded(RG.regress_facts(df, _constants_of(df, "pitchers"), "pitchers", places=None)[0])
+
+
+@query
+def regressed_pitchers_from_table(spark, sf):
+    df = pitch(spark, sf)
+    table = stage(PR.pitchers(df))
+    constants = _constants_of(df, "pitchers")
+    return rounded(RG.regress_table(table, constants, "pitchers", S.PITCHER_KEYS, places=None))
+
+
+@query
+def regressed_pitch_types_from_table(spark, sf):
+    df = pitch(spark, sf)
+    table = stage(PR.pitch_types(df))
+    constants = _constants_of(df, "pitch_types")
+    return rounded(RG.regress_table(table, constants, "pitch_types", S.PITCH_TYPE_KEYS, places=None))
+
+
 # --- grades -------------------------------------------------------------------------
 
 
@@ -758,6 +809,8 @@ def metric_spec_text(spark, sf):
         {"name": "v2_ab", "kind": "mean", "value": "v2", "sample_n": "side IN ('F', 'P')"},
         {"name": "v1_f", "kind": "max", "value": "v1", "sample_n": "attempt",
          "filter": "v1 > 5 and v1 < 45"},
+        {"name": "listed", "kind": "rate", "numerator": "side is in ['F', 'P'] and not in_zone",
+         "denominator": "side not in ['P']"},
         {"name": "gap", "kind": "derived", "depends_on": ["miss_rate", "loose"]},
     ]
     return rounded(M.aggregate(obs(spark, sf), ["team", "season"], [M.metric_from_spec(s) for s in specs]))
@@ -784,6 +837,17 @@ def source_join(spark, sf):
     )
 
 
+@query
+def multi_key_join(spark, sf):
+    """Lookups on four and on three keys."""
+    li = load(spark, sf, "lineitem")
+    four, three = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], ["l_orderkey", "l_partkey", "l_suppkey"]
+    tracked = li.filter("l_returnflag <> 'N'").groupBy(*four).agg(F.max("l_tax").alias("tracked"))
+    seen = li.filter("l_linestatus = 'F'").groupBy(*three).agg(F.max("l_discount").alias("seen"))
+    fact = J.join_lookup(li.select(*four, "l_quantity"), tracked, [(k, k) for k in four], ["tracked"])
+    return J.join_lookup(fact, seen, [(k, k) for k in three], ["seen"])
+
+
 @query
 def seen_keys_join(spark, sf):
     """Second source restricted to the fact's keys, then joined."""
@@ -897,6 +961,20 @@ def filter_ops(spark, sf):
     )
 
 
+@query
+def filter_compare(spark, sf):
+    """The plain comparisons, and a column against another."""
+    li = load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax")
+    return FL.apply_filters(
+        li,
+        [
+            ("l_linenumber", "=", 2), ("l_quantity", "<", 40.0), ("l_quantity", "<=", 30.0), ("l_quantity", ">", 3.0),
+            ("l_discount", ">=", F.col("l_tax")),
+            {"column": "l_discount", "operator": "!=", "other": "l_tax"},
+        ],
+    )
+
+
 @query
 def filter_all_aware(spark, sf):
     o = load(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice")
@@ -928,6 +1006,12 @@ def page(spark, sf):
     return FL.page(c, [F.col("c_acctbal").desc(), F.col("c_custkey")], 50, 3)
 
 
+@query
+def page_all(spark, sf):
+    c = load(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal")
+    return FL.page(c, [F.col("c_acctbal").desc(), F.col("c_custkey")], None)
+
+
 @query
 def distinct_options(spark, sf):
     df = obs(spark, sf)

@@ -13,7 +13,8 @@ Condition = tuple[str, str, object]
 def condition(column: str, op: str, value: object) -> Column:
     """One ``(column, operator, value)`` triple as a predicate.
 
-    ``contains`` is a case-insensitive regular expression, ``between`` closed.
+    ``contains`` is a case-insensitive regular expression, ``between`` closed. The
+    value may be another column, ``F.col(name)``; rows with a NULL on either side go.
     """
     c = F.col(column)
     if op in ("=", "=="):
@@ -41,10 +42,14 @@ def condition(column: str, op: str, value: object) -> Column:
 
 
 def apply_filters(df: DataFrame, conditions: Iterable[Condition | Mapping[str, object]]) -> DataFrame:
-    """AND of all conditions; accepts triples or ``{column, operator, value}``."""
+    """AND of all conditions; accepts triples or ``{column, operator, value}``.
+
+    A mapping may name ``other``, a column, in place of ``value``.
+    """
     for item in conditions:
         if isinstance(item, Mapping):
-            item = (str(item["column"]), str(item["operator"]), item["value"])
+            value = F.col(str(item["other"])) if "other" in item else item["value"]
+            item = (str(item["column"]), str(item["operator"]), value)
         df = df.filter(condition(*item))
     return df
 
@@ -81,6 +86,8 @@ def leaderboard(
     return out if top is None else out.limit(top)
 
 
-def page(df: DataFrame, order: Sequence[Column], size: int, number: int) -> DataFrame:
-    """Page ``number`` (from 1) under a total order."""
+def page(df: DataFrame, order: Sequence[Column], size: int | None, number: int = 1) -> DataFrame:
+    """Page ``number`` (from 1) under a total order; without a size, all rows are one page."""
+    if size is None:
+        return df.orderBy(*order) if number == 1 else df.limit(0)
     return df.orderBy(*order).offset(size * (number - 1)).limit(size)

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from pathlib import Path
@@ -115,11 +116,27 @@ def derived(name: str, expr: str, **kw: object) -> Metric:
 # --- specs ------------------------------------------------------------------
 
 
+_LIST = re.compile(r"\b(?:is\s+)?(not\s+)?in\s*\[([^\[\]]*)\]", re.IGNORECASE)
+
+
+def spec_predicate(text: object) -> str | None:
+    """A spec's predicate as Spark SQL: aliases resolved, ``[is] [not] in [..]`` lists as IN.
+
+    An empty list holds nothing. Brackets left over raise here, not when a plan is built.
+    """
+    if text is None:
+        return None
+    text = ALIASES.get(str(text), str(text))
+    sql = _LIST.sub(lambda m: f"{m[1] or ''}IN ({m[2].strip() or 'NULL'})", text)
+    unquoted = re.sub(r"'[^']*'|\"[^\"]*\"", "", sql)
+    if re.search(r"[\[\]]", unquoted) or re.search(r"\bis\s+in\b", unquoted, re.IGNORECASE):
+        raise ValueError(f"not a predicate: {text!r}")
+    return sql
+
+
 def metric_from_spec(spec: Mapping[str, object]) -> Metric:
     """One entry of a spec file; ``filter`` wins over ``sample_n``."""
-
-    def predicate(text: object) -> str | None:
-        return None if text is None else ALIASES.get(str(text), str(text))
+    predicate = spec_predicate
 
     name, kind = str(spec["name"]), str(spec["kind"])
     if kind == "rate":

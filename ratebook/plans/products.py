@@ -220,6 +220,12 @@ def all_tables(pitch: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+# Columns a split may be asked for by its published name.
+SPLITS = {"hand": "pitcher_hand", "side": "batter_hand", "half": "half_inning", "month": "CAST(month(game_date) AS BIGINT)"}
+
+
 def splits(pitch: DataFrame, keys: list[str], by: str, metrics: list[Metric]) -> DataFrame:
-    """The same metrics with one more group column (hand, side, half, month)."""
+    """The same metrics with one more group column, ``by``: a name of SPLITS or a column."""
+    if by in SPLITS:
+        pitch = pitch.withColumn(by, F.expr(SPLITS[by]))
     return aggregate(pitch, [*keys, by], metrics)
