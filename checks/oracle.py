@@ -6,6 +6,8 @@ sorted lists, ranks by window functions, one CTE per step.
 
 from __future__ import annotations
 
+from ratebook.plans.boards import BOARDS, HITTER_FEATURES, PITCHER_FEATURES
+
 from .fixtures import FEED_RAW, OBS, OFF_HALF, PITCH_RAW, WIDE_RANGE
 
 ORACLE: dict[str, str] = {}
@@ -1027,6 +1029,52 @@ ORACLE["leaderboard"] = f"""{WITH_OBS}, t AS (SELECT entity_id, entity_name, sea
   FROM obs GROUP BY entity_id, entity_name, season, level_id)
 SELECT entity_name AS "Name", season AS "Season", level_id AS "Level", n AS "N", {r('m')} AS "Miss", {r('c')} AS "Chase",
   {r('q')} AS "V90" FROM t WHERE n >= 50 ORDER BY m DESC NULLS LAST, entity_id, season, level_id LIMIT 100"""
+_PLAIN = {"hitter_name", "hitting_code", "season", "PA", "bbe", "name", "pitching_code", "TBF", "pitches", "pitch_tag", "level_id"}
+
+
+def board_sql(name: str, src: str, cond: str, plain: bool = False) -> str:
+    preset = BOARDS[name]
+
+    def shown(c: str) -> str:
+        source = "team" if c in preset.legacy.values() else c
+        if c in preset.whole:
+            return r(f"round_even({c}, 0)")
+        return source if plain or c in _PLAIN else r(c)
+
+    cols = ", ".join(f'{shown(c)} AS "{preset.names.get(c, c)}"' for c in preset.columns if c != "Zone" and c != "stuff_z")
+    return f"SELECT {cols} FROM {src} WHERE level_id IN (1, 11, 14, 16) AND {cond}"
+
+
+ORACLE["board_hitters"] = f"{WITH_PITCH}, h AS ({hitters_sql(False)}) " + board_sql("hitters", "h", "level_id = 1 AND PA >= 20")
+ORACLE["board_pitchers"] = _G2 + " " + board_sql("pitchers", "arms", "season IN (1996, 1998) AND IP >= 2")
+ORACLE["board_pitch_types"] = _G2 + " " + board_sql("pitch_types", "ty", "level_id = 1 AND pitch_tag IN ('FA', 'SL') AND pitches >= 5")
+ORACLE["board_team_hitting"] = f"""{WITH_PITCH}, t AS ({group_hitting_sql('hitting_code, level_id, season', 'hitting_code')})
+{board_sql("team_hitting", "t", "level_id = 11")}"""
+ORACLE["board_league_hitting"] = f"""{WITH_PITCH}, t AS ({group_hitting_sql('level_id, season', None)})
+{board_sql("league_hitting", "t", "TRUE")}"""
+ORACLE["board_hitter_pctiles"] = f"""WITH ranked AS ({ORACLE["hitter_pctiles"]}), plain AS ({WITH_PITCH} {hitters_sql(False)})
+{board_sql("hitter_pctiles", "(SELECT ranked.*, team, bbe FROM ranked JOIN plain ON ranked.batter_mlbid = plain.batter_mlbid AND ranked.season = plain.season AND ranked.level_id = plain.level_id AND ranked.hitter_name IS NOT DISTINCT FROM plain.hitter_name)", "bbe >= 5", True)}"""
+_q = lambda s: f"max(CASE WHEN stat = '{s}' THEN reg END)"
+_REGS = [f"{_q(s)} AS {s}_reg" for s in [*_TAB_RATES, *_TAB_VALUES]] + [
+    f"{_q('selection_skill')} - {_q('hittable_pitches_taken')} AS SEAGER_reg",
+    f"{_q('pred_whiff_loc_mean')} - {_q('whiff_rate')} - max(base) AS contact_vs_avg_reg",
+]
+_WITH_REG = f"""{WITH_PITCH}, h AS ({hitters_sql(False)}),
+lgb AS (SELECT season, level_id, 100e0 * sum(pred_whiff_loc_mean * pred_whiff_loc_mean_n) / sum(pred_whiff_loc_mean_n)
+  - 100e0 * sum(whiff_rate_num) / sum(whiff_rate_den) AS base FROM h GROUP BY ALL),
+s AS ({shrunk(_TAB_CELLS, _HIT_CONST, _ON, _LOCPCT)}),
+reg AS (SELECT s.batter_mlbid, s.hitter_name, s.level_id, s.season, {', '.join(_REGS)}
+  FROM s LEFT JOIN lgb USING (season, level_id) GROUP BY ALL),
+joined AS (SELECT h.*, reg.* EXCLUDE ({HKEYS}) FROM h LEFT JOIN reg USING ({HKEYS}))"""
+ORACLE["board_hitters_regressed"] = f"{_WITH_REG} " + board_sql("hitters_regressed", "joined", "level_id = 1 AND PA >= 20")
+ORACLE["hitter_comparisons"] = f"""{_WITH_REG}, pool AS (SELECT * FROM joined WHERE level_id = 1 AND PA >= 20),
+target AS (SELECT * FROM joined WHERE level_id = 1 AND PA >= 5 AND season = 1996 AND hitter_name = 'B Supplier#000000001')
+{comps_sql(HITTER_FEATURES, 'hitter_name')} SELECT hitter_name, season, {r('distance')} AS distance,
+{r('similarity_score')} AS similarity_score FROM scored"""
+ORACLE["pitcher_comparisons"] = f"""{_G2}, pool AS (SELECT * FROM arms WHERE level_id = 1 AND IP >= 1),
+target AS (SELECT * FROM arms WHERE level_id = 1 AND IP >= 0 AND season = 1996 AND name = 'P Arm1')
+{comps_sql(PITCHER_FEATURES, 'name')} SELECT name, season, {r('distance')} AS distance,
+{r('similarity_score')} AS similarity_score FROM scored"""
 ORACLE["filter_ops"] = """SELECT p_partkey, p_name, p_brand, p_size, p_retailprice FROM part
 WHERE p_size BETWEEN 10 AND 30 AND p_retailprice >= 950 AND regexp_matches(p_name, 'R.*G', 'i') AND p_brand <> 'Brand#11'
   AND p_size NOT IN (12, 13)"""

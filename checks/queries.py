@@ -25,6 +25,7 @@ from ratebook.operators import stability as ST
 from ratebook.operators.features import add_features, add_feed_features, pitch_group_from, read_sensors
 from ratebook.operators.ordered import LINEAR, NEAREST, grouped_quantiles, unpack
 from ratebook.operators.staging import shared_folder, stage
+from ratebook.plans import boards as B
 from ratebook.plans import feed as FEED
 from ratebook.plans import products as PR
 from ratebook.plans import regress as RG
@@ -947,6 +948,67 @@ def leaderboard(spark, sf):
     return rounded(board)
 
 
+# Minima below the published ones, which no entity of the stand-in fact reaches.
+
+
+@query
+def board_hitters(spark, sf):
+    return rounded(B.board(PR.hitters(pitch(spark, sf)), B.BOARDS["hitters"], "MLB", {"season": ["All"]}, ("PA", 20)))
+
+
+@query
+def board_pitchers(spark, sf):
+    table = PR.graded_pitching(pitch(spark, sf), 10, 5)["pitchers"]
+    return rounded(B.board(table, B.BOARDS["pitchers"], "All", {"season": [1996, 1998]}, ("IP", 2)))
+
+
+@query
+def board_pitch_types(spark, sf):
+    table = PR.graded_pitching(pitch(spark, sf), 10, 5)["pitch_types"]
+    return rounded(B.board(table, B.BOARDS["pitch_types"], "MLB", {"pitch_tag": ["FA", "SL"]}, ("pitches", 5)))
+
+
+@query
+def board_team_hitting(spark, sf):
+    return rounded(B.board(PR.team_hitting(pitch(spark, sf)), B.BOARDS["team_hitting"], "Triple-A"))
+
+
+@query
+def board_league_hitting(spark, sf):
+    return rounded(B.board(PR.league_hitting(pitch(spark, sf)), B.BOARDS["league_hitting"]))
+
+
+@query
+def board_hitter_pctiles(spark, sf):
+    table = stage(PR.hitters(pitch(spark, sf)))
+    return B.board(PR.hitter_percentiles(table, min_pa=40), B.BOARDS["hitter_pctiles"], minimum=("bbe", 5))
+
+
+def _hitters_with_reg(spark, sf):
+    df = pitch(spark, sf)
+    table = stage(PR.hitters(df))
+    wide = RG.regress_table(table, _hitter_constants(df), "hitters", S.HITTER_KEYS, places=None)
+    return R.merge_regressed(table, wide, S.HITTER_KEYS)
+
+
+@query
+def board_hitters_regressed(spark, sf):
+    return rounded(B.board(_hitters_with_reg(spark, sf), B.BOARDS["hitters_regressed"], "MLB", minimum=("PA", 20)))
+
+
+@query
+def hitter_comparisons(spark, sf):
+    out = B.hitter_comparisons(stage(_hitters_with_reg(spark, sf)), "B Supplier#000000001", 1996, 20, 5)
+    return rounded(out.select("hitter_name", "season", "distance", "similarity_score"))
+
+
+@query
+def pitcher_comparisons(spark, sf):
+    table = stage(PR.graded_pitching(pitch(spark, sf), 10, 5)["pitchers"])
+    out = B.pitcher_comparisons(table, "P Arm1", 1996, 1, 0)
+    return rounded(out.select("name", "season", "distance", "similarity_score"))
+
+
 @query
 def filter_ops(spark, sf):
     return FL.apply_filters(

@@ -79,3 +79,20 @@ def test_attach_broadcasts_only_checked_sizes(spark):
         assert sorted(small.collect()) == sorted(large.collect())
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_means_do_not_depend_on_order(spark):
+    values = [0.1, 0.2, 0.3, 1e15, -1e15, 0.7, None, float("nan")]
+    rows = [(k, v) for k, order in (("a", values), ("b", values[::-1])) for v in order]
+    df = spark.createDataFrame(rows, "k string, v double").coalesce(1)
+    got = M.aggregate(df, ["k"], [M.mean("m", "v", parts=True)]).collect()
+    assert [(r["m"], r["m_n"]) for r in got] == [(1.3 / 6, 6)] * 2
+
+
+def test_spec_lists():
+    assert M.spec_predicate("pi_pitch_group is in ['CU','SL']") == "pi_pitch_group IN ('CU','SL')"
+    assert M.spec_predicate("a not in [1] and b") == "a not IN (1) and b"
+    assert M.spec_predicate("pitches") == "*" and M.spec_predicate(None) is None
+    for bad in ("a is in (1)", "a in [1"):
+        with pytest.raises(ValueError, match="not a predicate"):
+            M.spec_predicate(bad)
