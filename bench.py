@@ -11,6 +11,7 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -44,6 +45,7 @@ def main() -> None:
         SparkSession.builder.master(f"local[{cpus}]").appName("ratebook-bench"),
         spark__sql__shuffle__partitions=cpus,
         spark__ui__enabled="false",
+        spark__checkpoint__dir=tempfile.mkdtemp(prefix="shared-"),
         spark__ui__showConsoleProgress="false",
         spark__driver__memory=os.environ.get("BENCH_MEMORY", "12g"),
     ).getOrCreate()
