@@ -24,6 +24,9 @@ ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -43,16 +46,16 @@ from ratebook.llm.blocks import (
     split_keys,
     unplanes,
 )
-from ratebook.operators.staging import stage
+from ratebook.operators.staging import released, stage
 
 GRID = (3.0, 30.0, 300.0, 3000.0, 30000.0)
 _START, _END = U(0x53544152), U(0x454E44)
 
 
 class Walk:
-    """A block's n-grams: for each length, distinct keys and which one each position has."""
+    """A block's n-grams: for each length of ``lengths``, distinct keys and which one each position has."""
 
-    def __init__(self, block: Block, order: int) -> None:
+    def __init__(self, block: Block, lengths: range) -> None:
         n = len(block)
         size = np.diff(np.append(0, block.ends))
         length = size + 2  # with start and end
@@ -67,11 +70,15 @@ class Walk:
         token[inside] = block.codes
         self.doc = np.repeat(np.arange(n, dtype=np.int32), length)
         self.start_key = names[-2]
-        self.keys, self.at, self.valid = [names], [token], [np.ones(len(token), bool)]
+        self.keys, self.at, self.valid = [], [], []
+        if 1 in lengths:
+            self.keys.append(names), self.at.append(token), self.valid.append(np.ones(len(token), bool))
         gram = names[token]
         depth = (np.arange(len(token)) - np.repeat(self.first, length)).astype(np.int32)
-        for k in range(2, order + 1):
+        for k in range(2, lengths.stop):
             gram = mix(np.append(U(0), gram[:-1]) * U(0x9E3779B97F4A7C15) + names[token]) & ~U(1)
+            if k not in lengths:
+                continue
             valid = depth >= k - 1
             keys, at = np.unique(gram[valid], return_inverse=True)
             full = np.zeros(len(token), np.int32)
@@ -112,14 +119,20 @@ def score(docs: DataFrame, train: Column, order: int = 2, grid: tuple[float, ...
     columns = [F.col("doc_id").cast("string"), F.coalesce(train, F.lit(False)).cast("int")]
     blocks = pack(docs, F.col("text"), columns, "doc_id string, train int", lower=True, size=BLOCK_BYTES // 2)
     bits = bits_for(docs)
+    # words and pairs are asked about first, then each longer length by itself: the files
+    # of one round's exchange are gone before the next
+    rounds = [range(1, min(2, order) + 1), *[range(k, k + 1) for k in range(3, order + 1)]]
 
     def learned(walk: Walk, block: Block) -> np.ndarray:
         return np.array(block.rows["train"], float)[walk.doc]
 
-    def ask_counts(number: int, block: Block) -> pd.DataFrame:
-        walk = Walk(block, order)
-        keys, place = walk.all_keys()
-        return split_keys(number, keys, walk.counts(learned(walk, block))[place], bits)
+    def ask_counts(lengths: range) -> Callable[[int, Block], pd.DataFrame]:
+        def asked(number: int, block: Block) -> pd.DataFrame:
+            walk = Walk(block, lengths)
+            keys, place = walk.all_keys()
+            return split_keys(number, keys, walk.counts(learned(walk, block))[place], bits)
+
+        return asked
 
     def add_up(keys: np.ndarray, told: np.ndarray):
         _, at = np.unique(keys, return_inverse=True)
@@ -134,16 +147,25 @@ def score(docs: DataFrame, train: Column, order: int = 2, grid: tuple[float, ...
         one = (keys & U(1) == U(1)) & (keys != start) & (told > 0)
         return np.array([told[one].sum(), len(np.unique(keys[one]))], np.int64).tobytes()
 
-    answers = stage(answer(ask(blocks, ask_counts), np.uint64, np.int64, add_up, words))
-    sums = [np.frombuffer(r[0], np.int64) for r in answers.where("block = -1").select("answer").collect()]
+    told = []
+    for i, lengths in enumerate(rounds):
+        with released(docs.sparkSession):
+            told.append(stage(answer(ask(blocks, ask_counts(lengths)), np.uint64, np.int64, add_up, None if i else words)))
+    sums = [np.frombuffer(r[0], np.int64) for r in told[0].where("block = -1").select("answer").collect()]
     n, v = (int(x) for x in (np.sum(sums, axis=0) if sums else (0, 0)))
+    # the ranges of a round come after those of the rounds before it
+    numbered = [t.withColumn("bucket", F.col("bucket") + (i << bits)) for i, t in enumerate(told)]
+    answers = reduce(DataFrame.union, numbered)
 
     def walk_texts(number: int, block: Block, replies: list[bytes]) -> pd.DataFrame:
-        walk = Walk(block, order)
-        keys, place = walk.all_keys()
-        flat = np.empty(len(keys), np.int64)
-        flat[place] = np.concatenate([unplanes(r, np.int64) for r in replies])
-        counts = np.split(flat, np.cumsum([len(k) for k in walk.keys])[:-1])
+        walk = Walk(block, range(1, order + 1))
+        said = np.concatenate([unplanes(r, np.int64) for r in replies])
+        counts = []
+        for lengths in rounds:
+            own = walk.keys[lengths.start - 1 : lengths.stop - 1]
+            flat = np.empty(sum(map(len, own)), np.int64)
+            flat[np.argsort(np.concatenate(own), kind="stable")], said = said[: len(flat)], said[len(flat) :]
+            counts += np.split(flat, np.cumsum([len(k) for k in own])[:-1])
         single = counts[0][walk.at[0]]
         by_doc = lambda x: np.add.reduceat(np.where(walk.scored, x, 0), walk.first)
         base = np.log10((counts[0] + 1.0) / (n + v + 1.0))[walk.at[0]]
@@ -164,7 +186,8 @@ def score(docs: DataFrame, train: Column, order: int = 2, grid: tuple[float, ...
         "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double,"
         " scores array<double>, left_out array<double>"
     )
-    walked = stage(settle(blocks, answers.where("block >= 0"), schema, walk_texts))
+    with released(docs.sparkSession):
+        walked = stage(settle(blocks, answers.where("block >= 0"), schema, walk_texts))
     likelihood = walked.agg(*[F.sum(F.get("left_out", F.lit(i))) for i in range(len(grid))]).first()
     best = max(range(len(grid)), key=lambda i: (likelihood[i] or 0.0, -i))
     return walked.select(
