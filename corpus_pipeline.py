@@ -49,19 +49,29 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the least id of each group of near copies.
+    """Keep one row of each group of near copies: one with the least id of the group.
 
-    Rows that share an id share its group's fate; the first by text is the one that stays.
+    Rows are judged by their text, so rows that share an id have fates of their own. A
+    group whose ids are all NULL keeps one of its rows.
     """
-    groups = stage(jaccard.near_duplicates(docs))
-    kept = _without(docs, groups.where("doc_id <> class_id"))
-    twice = stage(groups.groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    if twice.isEmpty():
-        return kept
-    first = Window.partitionBy("doc_id").orderBy("text")
-    at = _fresh(docs, "_at")
-    again = kept.join(small(twice), "doc_id", "left_semi").withColumn(at, F.row_number().over(first))
-    return _without(kept, twice).union(again.where(F.col(at) == 1).select(*docs.columns))
+    rows, texts = jaccard.tied_texts(docs)
+    least = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "tk")).alias("least")
+    groups = texts.groupBy("root").agg(least, F.sum("weight").alias("rows")).where("rows > 1")
+    fate = stage(texts.join(groups, "root").select("tk", "rep", (F.col("tk") == F.col("least.tk")).alias("stays")))
+    first = rows.join(small(fate), "tk").where(F.col("stays") & rows["doc_id"].eqNullSafe(fate["rep"]))
+    many = stage(first.groupBy("tk").count().where("count > 1").select("tk", F.lit(True).alias("many")))
+    names = {c: _fresh(docs, f"_{c}") for c in ("tk", "rep", "stays", "many")}
+    tk, rep, stays, several = names.values()
+    told = stage(fate.join(many, "tk", "left")).withColumnsRenamed(names)
+    kept = (
+        docs.withColumn(tk, F.md5("text"))
+        .join(small(told), tk, "left")
+        .where(F.col(stays).isNull() | (F.col(stays) & F.col("doc_id").eqNullSafe(F.col(rep))))
+    )
+    if many.isEmpty():
+        return kept.select(*docs.columns)
+    one = kept.where(F.col(several)).groupBy(tk).agg(F.first(F.struct(*docs.columns)).alias("row"))
+    return kept.where(F.col(several).isNull()).select(*docs.columns).union(one.select("row.*"))
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -295,11 +295,12 @@ def buckets(docs: DataFrame, sets: DataFrame) -> DataFrame:
     return leaves.unionByName(rows.where(F.col("size") > BUCKET))
 
 
-def near_duplicates(docs: DataFrame, recall: float = 0.999999) -> DataFrame:
-    """Per row of ``docs``: doc_id, class_id, text_class, n_links.
+def tied_texts(docs: DataFrame, recall: float = 0.999999) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, tk, n) and their different texts with words, both written.
 
-    ``class_id`` is the least id of all texts connected by links, ``text_class`` that of
-    the equal texts, ``n_links`` the number of other rows at the similarity or above.
+    A text is known by its md5 ``tk`` and has the least id ``rep`` of its rows, their
+    number ``weight``, its ``links`` to other texts, and the ``root`` that all texts
+    connected by links share.
     """
     prepared = stage_texts(
         docs.select("doc_id", F.md5("text").alias("tk"), _prepare(F.col("text"), runs_for(recall)).alias("p"))
@@ -339,7 +340,16 @@ def near_duplicates(docs: DataFrame, recall: float = 0.999999) -> DataFrame:
         .join(joined.select(F.col("u").alias("vid"), F.col("v").alias("root")), "vid", "left")
         .withColumn("root", F.coalesce("root", "vid"))
     )
-    tied = stage(tied)
+    return prepared, stage(tied)
+
+
+def near_duplicates(docs: DataFrame, recall: float = 0.999999) -> DataFrame:
+    """Per row of ``docs``: doc_id, class_id, text_class, n_links.
+
+    ``class_id`` is the least id of all texts connected by links, ``text_class`` that of
+    the equal texts, ``n_links`` the number of other rows at the similarity or above.
+    """
+    prepared, tied = tied_texts(docs, recall)
     names = tied.groupBy("root").agg(F.min("rep").alias("class_id"))
     classes = tied.join(names, "root").select(
         "tk", "class_id", F.col("rep").alias("text_class"),

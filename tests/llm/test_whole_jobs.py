@@ -3,6 +3,7 @@
 import math
 from collections import Counter
 
+import corpus_pipeline as pipeline
 from ratebook.llm import queries
 from tests.llm.test_operators import table, words
 
@@ -31,3 +32,20 @@ def test_op10_scores_by_two_words_of_history(spark, tmp_path):
             total += math.log10(p)
         want[i] = round(total, 6)
     assert {r["doc_id"]: round(r["score"], 6) for r in got} == want
+
+
+def prose(seed, n=40):
+    return words(seed, n, 9999)
+
+
+def test_pipeline_judges_rows_that_share_an_id_by_their_text(spark):
+    def kept(rows):
+        out = pipeline.near_duplicates(spark, table(spark, [(i, t, "en", "s") for i, t in rows]), "")
+        return sorted((r["doc_id"], r["text"]) for r in out.collect())
+
+    a, b, c = prose(1), prose(2), prose(3)
+    # one row of id 5 is a near copy, the other nobody's; both of id 6 are nobody's; id 7 repeats a row
+    rows = [(3, a), (5, a + " more"), (5, b), (6, c), (6, prose(4)), (7, prose(5)), (7, prose(5))]
+    assert kept(rows) == sorted([(3, a), (5, b), (6, c), (6, prose(4)), (7, prose(5))])
+    # id 5 names two groups: each keeps one row
+    assert kept([(5, a), (9, a + " more"), (5, b), (7, b + " more")]) == sorted([(5, a), (5, b)])
