@@ -6,7 +6,7 @@ as Parquet below the session's shared folder and read again.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratebook.llm import decontaminate, jaccard, langid, mixing, sharding
@@ -25,24 +25,24 @@ def _fresh(docs: DataFrame, name: str) -> str:
     return name
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is not among ``gone``."""
-    return docs.join(small(stage(gone.select("doc_id").distinct())), "doc_id", "left_anti").select(*docs.columns)
+def _row_key() -> Column:
+    """Names a row by its id, source and text, each of which may be NULL."""
+    told = [F.coalesce(F.md5(F.col(c).cast("string")), F.lit("-")) for c in ("doc_id", "source", "text")]
+    return F.unhex(F.md5(F.concat_ws("|", *told)))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a letter, or whose language none of the learned ones explains.
 
     The model learns from the stage's own rows that have a language; a document goes
-    if its calibrated probability is below one half. Rows without an id go as well,
-    since no later stage could name them.
+    if its calibrated probability is below one half. A row without an id is judged like
+    the others.
     """
     model = langid.fit(docs)
     name = _fresh(docs, "_told")
     told = F.col(name)
     return (
-        docs.where("doc_id IS NOT NULL")
-        .withColumn(name, langid.scored(model, F.col("text")))
+        docs.withColumn(name, langid.scored(model, F.col("text")))
         .where((told["lang_pred"] != langid.UND) & (told["score"] >= LEAST_SCORE))
         .select(*docs.columns)
     )
@@ -75,24 +75,38 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold ten consecutive words of a benchmark item, or a whole shorter one."""
+    """Drop documents that hold ten consecutive words of a benchmark item, or a whole shorter one.
+
+    Rows are judged by their text, whatever their id.
+    """
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _without(docs, decontaminate.contamination(docs, items).where("contaminated"))
+    texts = docs.select(F.unhex(F.md5("text")).alias("doc_id"), "text")
+    tk = _fresh(docs, "_tk")
+    gone = decontaminate.contamination(texts, items).where("contaminated").select(F.col("doc_id").alias(tk))
+    return (
+        docs.withColumn(tk, F.unhex(F.md5("text")))
+        .join(small(stage(gone.distinct())), tk, "left_anti")
+        .select(*docs.columns)
+    )
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat or drop documents so that each source comes near its target.
 
     A document is written as many times as its share of the mix rounds to, the
-    fraction decided by a seeded draw of its id.
+    fraction decided by a seeded draw of its id, source and text.
     """
-    told = mixing.mix(docs).select("doc_id", "size", "taken").where("size > 0")
+    keyed = docs.select(F.hex(_row_key()).alias("doc_id"), "source", "text")
+    told = mixing.mix(keyed).select("doc_id", "size", "taken").where("size > 0")
     draw = mixing.seeded(66, F.col("doc_id")) / float(1 << 60)
     times = F.floor(F.col("taken") / F.col("size") + draw).cast("int")
-    count, copy = _fresh(docs, "_times"), _fresh(docs, "_copy")
-    often = told.groupBy("doc_id").agg(F.max(times).alias(count)).where(F.col(count) > 0)
+    key, count, copy = _fresh(docs, "_key"), _fresh(docs, "_times"), _fresh(docs, "_copy")
+    often = (
+        told.groupBy(F.unhex("doc_id").alias(key)).agg(F.max(times).alias(count)).where(F.col(count) > 0)
+    )
     return (
-        docs.join(small(stage(often)), "doc_id")
+        docs.withColumn(key, _row_key())
+        .join(small(stage(often)), key)
         .withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(count))))
         .select(*docs.columns)
     )
