@@ -1,8 +1,8 @@
-"""Language-model scores by a weighted backoff automaton.
+"""Language-model scores: those of a weighted backoff automaton, by interpolated lookups.
 
-Histories seen in training are states, seen n-grams arcs, and a state without an arc
-for the next token falls back along its failure arc to the history less its oldest
-token. With counts c and one smoothing weight k,
+In the automaton, histories seen in training are states, seen n-grams arcs, and a state
+without an arc for the next token falls back along its failure arc to the history less
+its oldest token. It is not built; its weights give the probabilities here. With counts c and one smoothing weight k,
 
     arc      P(w | h) = (c(hw) + k P(w | h')) / (c(h) + k)
     failure  weight of h = k / (c(h) + k), then P(w | h')
@@ -13,8 +13,8 @@ is the one of a grid under which the training texts are likeliest, each token le
 out of the counts it is scored with.
 
 Counts come from all training texts. Each block of documents asks for the counts of
-its own n-grams (:mod:`ratebook.llm.blocks`), which gives it its part of the
-automaton; each text is then walked once from left to right.
+its own n-grams (:mod:`ratebook.llm.blocks`); probabilities are then interpolated length
+by length, over all positions of the block at once.
 
 Defined results: a NULL text has the end token only; with nothing to learn from the
 root is uniform; documents with one id are documents of their own, a NULL id counts
