@@ -152,4 +152,130 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, s
 FROM d LEFT JOIN k USING (rid) LEFT JOIN (SELECT rid, count(*) AS n FROM c GROUP BY rid) USING (rid)
 """
 
-ORACLE: dict[str, str] = {"op2_decontaminate": OP2, "op4_shard": OP4, "op6_mix": OP6, "op8_repeats": OP8, "op9_chat": OP9}
+_CRCS = """tbl AS (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+              lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM (SELECT unnest(range(256)) AS i))"""
+_NEXT = {1: 3, 2: 3, 3: 4, 4: 3}  # the state (counted from 1) after the only role that may follow
+_KEEP = {1: {"s": 2, "u": 3}, 2: {"u": 3}, 3: {"a": 4}, 4: {"u": 3}}
+
+
+def _edit(cost: str, letter: str, lines: str, ahead: str) -> str:
+    return f"{{'c': {ahead}.c + {cost}, 'a': '{letter}' || {ahead}.a, 't': list_concat({lines}, {ahead}.t)}}"
+
+
+def _needed(state: int) -> str:
+    return "assistant" if state == 3 else "user"
+
+
+def _base(state: int) -> str:
+    put = f"['{_needed(state)}:' || text]"
+    keep = " ".join(
+        f"WHEN initial = '{i}' AND fault IN (0, 3) THEN {_edit('cut', 'K', "[role || ':' || text]", f'v[{to}]')}"
+        for i, to in _KEEP[state].items()
+    )
+    edits = [
+        _edit("3", "D", "CAST([] AS VARCHAR[])", f"v[{state}]"),
+        f"CASE WHEN fault IN (0, 3) THEN {_edit('2 + cut', 'R', put, f'v[{_NEXT[state]}]')} END",
+        f"CASE {keep} END",
+    ]
+    return f"list_sort(list_filter([{', '.join(edits)}], lambda x: x IS NOT NULL))[1]"
+
+
+def _put(state: int) -> str:
+    near, far = _NEXT[state], _NEXT[_NEXT[state]]
+    one = _edit("2", "I", f"['{_needed(state)}:']", f"b[{near}]")
+    two = _edit("4", "II", f"['{_needed(state)}:', '{_needed(near)}:']", f"b[{far}]")
+    return f"list_sort([b[{state}], {one}, {two}])[1]"
+
+
+_VECTOR = "STRUCT(c BIGINT, a VARCHAR, t VARCHAR[])[]"
+
+OP11 = f"""
+WITH RECURSIVE {_CRCS},
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+             hex(encode(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))) AS hx
+      FROM conversations),
+lots AS (
+  SELECT k.*, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(len(hx) // 2),
+              lambda i: CAST('0x' || hx[2 * i + 1:2 * i + 2] AS BIGINT))),
+              lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) % 20 AS lot
+  FROM k, tbl),
+d AS (SELECT conv_id, turn, CASE WHEN lot = 4 THEN 'user' ELSE role END AS role,
+             CASE WHEN lot = 1 THEN '' WHEN lot = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+             unnest(range(CASE WHEN lot = 3 THEN 2 ELSE 1 END)) AS again
+      FROM lots WHERE lot <> 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, again) AS pos FROM d),
+e AS (SELECT *, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare,
+             row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) AS seen FROM p),
+g AS (SELECT conv_id, turn, role, text, pos, left(role, 1) AS initial,
+             lead(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY pos) AS following,
+             CASE WHEN bare = '' THEN 1 WHEN seen > 1 THEN 2 WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault
+      FROM e),
+told AS (SELECT conv_id, max(pos) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+                count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate,
+                count(*) FILTER (fault = 3) AS truncated,
+                count(*) FILTER (following IS NOT NULL AND initial || following NOT IN ('su', 'ua', 'au')) AS illegal
+         FROM g GROUP BY conv_id),
+go AS (
+  SELECT conv_id, n + 1 AS pos, CAST([{{'c': 0, 'a': '', 't': []}}, {{'c': 4, 'a': 'II', 't': ['user:', 'assistant:']}},
+         {{'c': 2, 'a': 'I', 't': ['assistant:']}}, {{'c': 0, 'a': '', 't': []}}] AS {_VECTOR}) AS v FROM told
+  UNION ALL
+  SELECT conv_id, pos, CAST([{", ".join(_put(s) for s in _NEXT)}] AS {_VECTOR})
+  FROM (SELECT conv_id, pos, [{", ".join(_base(s) for s in _NEXT)}] AS b
+        FROM (SELECT g.*, go.v, CASE WHEN fault = 3 THEN 1 ELSE 0 END AS cut
+              FROM go JOIN g ON g.conv_id IS NOT DISTINCT FROM go.conv_id AND g.pos = go.pos - 1)))
+SELECT a.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(v[1].c, 0) AS cost,
+       coalesce(v[1].a, '') AS audit, sha256(coalesce(array_to_string(v[1].t, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a
+LEFT JOIN told ON told.conv_id IS NOT DISTINCT FROM a.conv_id
+LEFT JOIN go ON go.conv_id IS NOT DISTINCT FROM a.conv_id AND go.pos = 1
+"""
+
+OP12 = f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(coalesce({_FOLD}, ''), '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM pieces),
+grams AS (
+  SELECT lang, k, array_to_string(w[s:s + k - 1], ' ') AS phrase, count(*) AS f
+  FROM w, (SELECT unnest([1, 2, 3, 4]) AS k), LATERAL (SELECT unnest(range(1, len(w) - k + 2)) AS s)
+  GROUP BY lang, k, phrase),
+total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+cand AS (SELECT lang, k AS size, phrase, f AS a, string_split(phrase, ' ') AS w FROM grams WHERE k >= 2 AND f >= 30),
+inner_ AS (
+  SELECT lang, array_to_string(w[s:s + k - 1], ' ') AS phrase, max(a) AS longest
+  FROM cand, (SELECT unnest([2, 3]) AS k), LATERAL (SELECT unnest(range(1, size - k + 2)) AS s)
+  WHERE k < size GROUP BY ALL),
+alone AS (SELECT c.* FROM cand c LEFT JOIN inner_ i USING (lang, phrase) WHERE i.longest IS NULL OR 100 * i.longest < 80 * a),
+cuts AS (SELECT *, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:size], ' ') AS tail
+         FROM alone, LATERAL (SELECT unnest(range(1, size)) AS k)),
+scored AS (
+  SELECT c.lang, c.phrase, a, c.k, h.f AS l, t.f AS r, CAST(2000000::HUGEINT * a // (h.f + t.f) AS BIGINT) AS score
+  FROM cuts c JOIN grams h ON h.lang = c.lang AND h.phrase = head AND h.k = c.k
+  JOIN grams t ON t.lang = c.lang AND t.phrase = tail AND t.k = size - c.k),
+weakest AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS place FROM scored),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM weakest WHERE place = 1)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
+
+OP13 = """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS rid, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+u AS (SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NOT NULL AND isfinite(x))) = len(e)
+      AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a.rid AS a, b.rid AS b FROM u a JOIN u b ON a.label = b.label AND a.rid <> b.rid AND len(a.e) = len(b.e)
+          WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (SELECT rid AS a, rid AS b FROM v UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+least AS (SELECT a AS rid, min(vec_id) AS component_id FROM reach JOIN v ON v.rid = reach.b GROUP BY a),
+counted AS (SELECT a AS rid, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, coalesce(vec_id = component_id, false) AS kept
+FROM v JOIN least USING (rid) LEFT JOIN counted USING (rid)
+"""
+
+ORACLE: dict[str, str] = {
+    "op2_decontaminate": OP2, "op4_shard": OP4, "op6_mix": OP6, "op8_repeats": OP8, "op9_chat": OP9,
+    "op11_repair": OP11, "op12_phrases": OP12, "op13_collisions": OP13,
+}

@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 from ratebook.llm import (
     automaton,
     chat,
+    collisions,
     decontaminate,
     extract,
     jaccard,
     langid,
     mixing,
     neighbours,
+    phrases,
     recompress,
+    repair,
     sharding,
 )
 
@@ -83,6 +86,19 @@ def op10_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return automaton.score(_read(spark, sf_dir, "documents"), fold_of(F.col("doc_id"), 7) != 2, order=3)
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return repair.audit(repair.damage(turns), turns)
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_read(spark, sf_dir, "documents"))
+
+
+def op13_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collisions.near_vectors(_read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
     "op2_decontaminate": op2_decontaminate,
@@ -94,4 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repeats": op8_repeats,
     "op9_chat": op9_chat,
     "op10_score": op10_score,
+    "op11_repair": op11_repair,
+    "op12_phrases": op12_phrases,
+    "op13_collisions": op13_collisions,
 }
