@@ -41,7 +41,7 @@ ORDER = 4
 LEAST = 30  # occurrences of a candidate
 INSIDE = 80  # percent of its occurrences in a longer candidate that drop a phrase
 BEST = 2000
-RANGE = 4_000_000  # windows of a prefix range
+RANGE = 2_000_000  # windows of a prefix range
 SAMPLE = 16_384
 COLUMNS = ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
 
@@ -183,7 +183,7 @@ def paths(levels: list[tuple]) -> tuple[list[np.ndarray], np.ndarray]:
         many = sizes[state]
         ends = np.cumsum(many)
         arc = np.arange(ends[-1]) - np.repeat(ends - many, many) + np.repeat(begin[state], many)
-        columns = [np.repeat(c, many) for c in columns] + [labels[arc].astype(np.int64)]
+        columns = [np.repeat(c, many) for c in columns] + [labels[arc]]
         state = values[arc].astype(np.int64)
     return columns, state
 
@@ -250,14 +250,14 @@ def _union(payloads: Iterator[bytes]) -> tuple[np.ndarray, np.ndarray, list[byte
     lang_of, word_of = {x: i for i, x in enumerate(langs)}, {x: i + 1 for i, x in enumerate(words)}
     columns: list[list[np.ndarray]] = [[] for _ in range(ORDER + 1)]
     for own_langs, own_words, labels, _ in loaded:
-        to = np.array([0, *map(word_of.__getitem__, own_words)], np.int64)
-        columns[0].append(np.array([lang_of[x] for x in own_langs], np.int64)[labels[0]])
+        to = np.array([0, *map(word_of.__getitem__, own_words)], np.int32)
+        columns[0].append(np.array([lang_of[x] for x in own_langs], np.int32)[labels[0]])
         for k in range(1, ORDER + 1):
             columns[k].append(to[labels[k]])
     weights = np.concatenate([part[3] for part in loaded])
-    del loaded
-    rows, counts = _sorted([np.concatenate(c) for c in columns], weights)
-    return rows, counts, langs, words
+    del loaded, word_of
+    whole = [np.concatenate(columns.pop(0)) for _ in range(ORDER + 1)]
+    return *_sorted(whole, weights), langs, words
 
 
 def counted(automata: DataFrame, least: int) -> DataFrame:
