@@ -235,27 +235,36 @@ LEFT JOIN go ON go.conv_id IS NOT DISTINCT FROM a.conv_id AND go.pos = 1
 
 OP12 = f"""
 WITH pieces AS (
-  SELECT coalesce(lang, 'und') AS lang,
-         unnest(string_split_regex(coalesce({_FOLD}, ''), '[.,;:!?\\x0A-\\x0D]')) AS piece
-  FROM documents),
-w AS (SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM pieces),
+  SELECT lang, piece, row_number() OVER () AS pid
+  FROM (SELECT coalesce(lang, 'und') AS lang,
+               unnest(string_split_regex(coalesce({_FOLD}, ''), '[.,;:!?\\x0A-\\x0D]')) AS piece
+        FROM documents)),
+w AS (SELECT pid, lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM pieces),
+tokens AS (SELECT pid, lang, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w),
+runs AS (
+  SELECT lang, x, lead(x, 1) OVER p AS x2, lead(x, 2) OVER p AS x3, lead(x, 3) OVER p AS x4
+  FROM tokens WINDOW p AS (PARTITION BY pid ORDER BY i)),
 grams AS (
-  SELECT lang, k, array_to_string(w[s:s + k - 1], ' ') AS phrase, count(*) AS f
-  FROM w, (SELECT unnest([1, 2, 3, 4]) AS k), LATERAL (SELECT unnest(range(1, len(w) - k + 2)) AS s)
-  GROUP BY lang, k, phrase),
+  SELECT lang, 1 AS k, x AS phrase, count(*) AS f FROM runs GROUP BY ALL
+  UNION ALL SELECT lang, 2, x || ' ' || x2 AS phrase, count(*) FROM runs WHERE x2 IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT lang, 3, x || ' ' || x2 || ' ' || x3 AS phrase, count(*) FROM runs WHERE x3 IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT lang, 4, x || ' ' || x2 || ' ' || x3 || ' ' || x4 AS phrase, count(*) FROM runs WHERE x4 IS NOT NULL GROUP BY ALL),
 total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
-cand AS (SELECT lang, k AS size, phrase, f AS a, string_split(phrase, ' ') AS w FROM grams WHERE k >= 2 AND f >= 30),
-inner_ AS (
+often AS MATERIALIZED (SELECT * FROM grams WHERE f >= 30),
+cand AS MATERIALIZED (SELECT lang, k AS size, phrase, f AS a, string_split(phrase, ' ') AS w FROM often WHERE k >= 2),
+inner_ AS MATERIALIZED (
   SELECT lang, array_to_string(w[s:s + k - 1], ' ') AS phrase, max(a) AS longest
   FROM cand, (SELECT unnest([2, 3]) AS k), LATERAL (SELECT unnest(range(1, size - k + 2)) AS s)
   WHERE k < size GROUP BY ALL),
-alone AS (SELECT c.* FROM cand c LEFT JOIN inner_ i USING (lang, phrase) WHERE i.longest IS NULL OR 100 * i.longest < 80 * a),
-cuts AS (SELECT *, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:size], ' ') AS tail
-         FROM alone, LATERAL (SELECT unnest(range(1, size)) AS k)),
+alone AS MATERIALIZED (SELECT c.* FROM cand c LEFT JOIN inner_ i USING (lang, phrase) WHERE i.longest IS NULL OR 100 * i.longest < 80 * a),
+cuts AS MATERIALIZED (
+  SELECT lang, phrase, a, k, size, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:size], ' ') AS tail
+  FROM alone, LATERAL (SELECT unnest(range(1, size)) AS k)),
+headed AS MATERIALIZED (
+  SELECT c.*, h.f AS l FROM cuts c JOIN often h ON h.lang = c.lang AND h.phrase = c.head AND h.k = c.k),
 scored AS (
-  SELECT c.lang, c.phrase, a, c.k, h.f AS l, t.f AS r, CAST(2000000::HUGEINT * a // (h.f + t.f) AS BIGINT) AS score
-  FROM cuts c JOIN grams h ON h.lang = c.lang AND h.phrase = head AND h.k = c.k
-  JOIN grams t ON t.lang = c.lang AND t.phrase = tail AND t.k = size - c.k),
+  SELECT c.lang, c.phrase, a, c.k, l, t.f AS r, CAST(2000000::HUGEINT * a // (l + t.f) AS BIGINT) AS score
+  FROM headed c JOIN often t ON t.lang = c.lang AND t.phrase = c.tail AND t.k = c.size - c.k),
 weakest AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS place FROM scored),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM weakest WHERE place = 1)
 SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000

@@ -7,6 +7,10 @@ are one state; the last arcs carry counts, the weight of a path. The sorted wind
 cut at the bounds of prefix ranges first, so that each range of a block is an automaton
 of its own, over its own list of words.
 
+Words in hashed places of fewer than ``least`` words in the whole corpus are in no
+candidate: windows end before them. That table has a fixed size; where it is crowded it
+only spares less work.
+
 A task per range unites the automata of all blocks: their paths are merged in order and
 the weights of equal paths summed. The weight of a state's prefix is the sum below it,
 which gives the counts of all shorter phrases too. A range hands on the phrases that
@@ -43,6 +47,7 @@ INSIDE = 80  # percent of its occurrences in a longer candidate that drop a phra
 BEST = 2000
 RANGE = 2_000_000  # windows of a prefix range
 SAMPLE = 16_384
+PLACES = 22  # bits of the hashed table of words: half a megabyte of bits is broadcast
 COLUMNS = ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
 
 Bound = tuple[bytes, ...]
@@ -51,22 +56,22 @@ Bound = tuple[bytes, ...]
 class Windows:
     """The sorted different windows of a block: columns of ranks, and counts."""
 
-    def __init__(self, block: Block) -> None:
+    def __init__(self, block: Block, common: np.ndarray) -> None:
         words = block.words.split(b" ") if block.words else []
-        order = sorted(range(len(words)), key=words.__getitem__)
+        order = sorted(np.flatnonzero(common[_place(block)]).tolist(), key=words.__getitem__)
         self.words = [words[i] for i in order]
-        rank = np.empty(len(words) + 1, np.int64)
-        rank[order] = np.arange(1, len(words) + 1)
+        rank = np.zeros(len(words) + 1, np.int32)
+        rank[order] = np.arange(1, len(order) + 1)
         langs = [("und" if v is None else v).encode() for v in block.rows["lang"]]
         self.langs = sorted(set(langs))
         of = {v: i for i, v in enumerate(self.langs)}
         sizes = np.diff(block.ends, prepend=0)
-        lang = np.repeat(np.array([of[v] for v in langs], np.int64), sizes)
+        lang = np.repeat(np.array([of[v] for v in langs], np.int32), sizes)
         stop = words.index(b".") if b"." in words else -1
         breaks = block.codes == stop
         starts = np.zeros(len(breaks) + 1, bool)
         starts[block.ends[:-1]] = True
-        piece = np.cumsum(breaks | starts[:-1])
+        piece = np.cumsum(breaks | starts[:-1], dtype=np.int32)
         kept = ~breaks
         self.lang, self.piece, self.word = lang[kept], piece[kept], rank[block.codes[kept]]
 
@@ -74,16 +79,52 @@ class Windows:
         return len(self.word)
 
     def columns(self) -> list[np.ndarray]:
-        """Language and ORDER words from each word on; 0 beyond the piece's end."""
+        """Language and ORDER words from each word on; 0 from the piece's end or a rare word on."""
         out = [self.lang, self.word]
         for k in range(1, ORDER):
-            follow = np.zeros(len(self), np.int64)
-            same = self.piece[k:] == self.piece[:-k]
+            follow = np.zeros(len(self), np.int32)
+            same = (self.piece[k:] == self.piece[:-k]) & (out[-1][: max(0, len(self) - k)] > 0)
             follow[: len(same)] = np.where(same, self.word[k:], 0)
             out.append(follow)
         return out
 
 
+def _place(block: Block) -> np.ndarray:
+    """The place of each different word in the table of :func:`common_words`."""
+    return (block.names() >> np.uint64(64 - PLACES)).astype(np.int64)
+
+
+def common_words(blocks: DataFrame, least: int) -> np.ndarray:
+    """Which of 2^PLACES hashed places hold ``least`` words or more: no other word can be in a candidate.
+
+    A place holds at least as many words as each word in it occurs, so no common word
+    is ever left out; rare words that share a crowded place are only kept needlessly.
+    """
+    slices, top = 32, 255
+
+    def held(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for payload in frame["payload"]:
+                block = Block.load(payload)
+                place = _place(block)
+                total = np.bincount(place, np.bincount(block.codes, minlength=len(place)), 1 << PLACES)
+                parts = np.minimum(total, top).astype(np.uint8).reshape(slices, -1)
+                yield pd.DataFrame({"part": range(slices), "payload": [zlib.compress(p.tobytes(), 1) for p in parts]})
+
+    def summed(frame: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros((1 << PLACES) // slices, np.int64)
+        for raw in frame["payload"]:
+            total += np.frombuffer(zlib.decompress(raw), np.uint8)
+        return pd.DataFrame({"part": frame["part"][:1], "payload": [np.packbits(total >= min(least, top)).tobytes()]})
+
+    schema = "part int, payload binary"
+    told = blocks.mapInPandas(held, schema).groupBy("part").applyInPandas(summed, schema)
+    common = np.zeros((slices, (1 << PLACES) // slices), bool)
+    for row in told.collect():  # 2^PLACES bits in all
+        common[row["part"]] = np.unpackbits(np.frombuffer(row["payload"], np.uint8)).astype(bool)
+    return common.ravel()
+
+
 def _drawn(block: Block, share: float, seed: int) -> list[Bound]:
     """About ``share`` of a block's windows, at random."""
     draw = np.random.default_rng(seed)
@@ -220,13 +261,15 @@ def bounds(docs: DataFrame, blocks: DataFrame) -> list[Bound]:
     return sorted({some[i * len(some) // ranges] for i in range(1, ranges)}) if some else []
 
 
-def shards(blocks: DataFrame, cuts: list[Bound]) -> DataFrame:
+def shards(blocks: DataFrame, cuts: list[Bound], common: np.ndarray) -> DataFrame:
     """(range, payload): the automaton of each block and prefix range."""
+    bits = np.packbits(common)
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = np.unpackbits(bits).astype(bool)
         for frame in frames:
             for payload in frame["payload"]:
-                found = Windows(Block.load(payload))
+                found = Windows(Block.load(payload), known)
                 if not len(found):
                     continue
                 rows, counts = _sorted(found.columns())
@@ -293,7 +336,7 @@ def _wide(c: str) -> Column:
 def collocations(docs: DataFrame, least: int = LEAST, inside: int = INSIDE, best: int = BEST) -> DataFrame:
     """The ``best`` phrases of each language by their weakest cut."""
     blocks = packed(docs)
-    counts = stage(counted(shards(blocks, bounds(docs, blocks)), least))
+    counts = stage(counted(shards(blocks, bounds(docs, blocks), common_words(blocks, least)), least))
     words = F.split("phrase", " ")
     known = counts.where("size >= 1").select("lang", F.col("phrase").alias("part"), F.col("f").alias("held"))
     candidates = counts.where("size >= 2")
