@@ -16,7 +16,7 @@ from ratebook.session import spread, tune
 OFF_HALF = 1.2345e-8
 
 # Columns compared to ten significant digits instead of fixed places.
-WIDE_RANGE = ("K", "n_50", "n_70", "n_80")
+WIDE_RANGE = ("K", "n_50", "n_70", "n_80", "mean_wide")
 
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",

@@ -38,9 +38,22 @@ def where(value: str, pred: str | None) -> str:
 
 
 def exact(v: str, pred: str | None = None) -> str:
-    """A mean of decimals with 12 places; the text step makes the double the nearest one."""
+    """A mean of an exact sum: parts of 24 bits added as whole doubles, carries settled at the end."""
     v = where(v, pred)
-    return f"(CAST(CAST(sum(CAST({v} AS DECIMAL(28, 12))) AS VARCHAR) AS DOUBLE) / nullif(count({v}), 0))"
+    m = f"(CASE WHEN abs({v}) < 16777216 AND (abs({v}) >= 9.5367431640625e-7 OR {v} = 0) THEN {v} ELSE 0e0 END)"
+    fine = f"(({m} - trunc({m})) * 281474976710656e0)"
+    high = f"trunc(trunc({fine}) / 16777216e0)"
+    l0, l1 = f"sum(trunc({m}))", f"sum({high})"
+    l2, l3 = f"sum(trunc({fine}) - {high} * 16777216e0)", f"sum(trunc(({fine} - trunc({fine})) * 16777216e0))"
+    s2 = f"({l2} + floor({l3} / 16777216e0))"
+    s1 = f"({l1} + floor({s2} / 16777216e0))"
+    s0 = f"({l0} + floor({s1} / 16777216e0))"
+    rest = [f"({s} - floor({s} / 16777216e0) * 16777216e0)" for s in (l3, s2, s1)]
+    beyond = f"coalesce(sum({v}) FILTER (WHERE {v} <> {m}), 0e0)"
+    added = (
+        f"({rest[0]} * {2.0**-72!r} + {rest[1]} * {2.0**-48!r} + {rest[2]} * {2.0**-24!r} + {s0} + {beyond})"
+    )
+    return f"({added} / nullif(count({v}), 0))"
 
 
 def nearest(v: str, q: float) -> str:
@@ -121,6 +134,12 @@ ORACLE["group_rollup_mean_of_entities"] = f"""{WITH_TABLE}
 SELECT season, level_id, sum(pitches)::BIGINT AS pitches, {r('avg(miss_rate)')} AS miss_rate,
   {r('avg(chase)')} AS chase, {r('avg(v1_mean)')} AS v1_mean FROM t GROUP BY ALL"""
 
+_SCALE = "CASE seq % 5 WHEN 0 THEN 1e-300 WHEN 1 THEN 1e-13 WHEN 2 THEN 1e0 WHEN 3 THEN 1e17 ELSE 1e300 END"
+ORACLE["mean_exact"] = f"""{WITH_OBS}
+SELECT team, seq % 5 AS scale, {sig(f'avg(v1 / 1000e0 * {_SCALE})')} AS mean_wide, count(v1) AS mean_wide_n,
+  {r("avg(CASE WHEN seq = 7 AND team < 'Brand#3' THEN 'inf'::DOUBLE ELSE v1 END)")} AS mean_mixed, {r('avg(v1 - 100)')} AS mean_signed
+FROM obs GROUP BY ALL"""
+
 ORACLE["multi_grain"] = f"""{WITH_OBS}
 SELECT CASE WHEN grouping(entity_id) = 0 THEN 'entity' WHEN grouping(team) = 0 THEN 'team'
             WHEN grouping(season) = 0 THEN 'league' ELSE 'all' END AS grain,

@@ -194,6 +194,20 @@ def group_rollup_mean_of_entities(spark, sf):
     )
 
 
+@query
+def mean_exact(spark, sf):
+    """Means of values from 1e-300 to 1e300, with infinities in some groups."""
+    scale = "CASE seq % 5 WHEN 0 THEN 1e-300D WHEN 1 THEN 1e-13D WHEN 2 THEN 1D WHEN 3 THEN 1e17D ELSE 1e300D END"
+    spec = [
+        M.mean("mean_wide", f"v1 / 1000 * {scale}", parts=True),
+        M.mean("mean_mixed", "CASE WHEN seq = 7 AND team < 'Brand#3' THEN CAST('Infinity' AS DOUBLE) ELSE v1 END"),
+        M.mean("mean_signed", "v1 - 100"),
+    ]
+    rows = obs(spark, sf).withColumn("scale", F.col("seq") % 5)
+    whole = M.roll_up(M.partials(rows, ["team", "scale", "season"], spec), ["team", "scale"], spec)
+    return rounded(whole)
+
+
 @query
 def multi_grain(spark, sf):
     grains = {

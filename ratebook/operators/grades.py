@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import clip, half_even, ratio
 from .joins import attach
 from .ordered import NEAREST, long_values, ordered, quantile_points, unpack
+from .sums import exact_sum, prepared
 
 BEST, WORST = 80.0, 20.0
 
@@ -117,12 +118,12 @@ def weighted_mean(
     skip_null: bool = False,
 ) -> DataFrame:
     """sum(value*weight)/sum(weight); a NULL value keeps its weight by default."""
-    w = F.col(weight)
-    if skip_null:
-        w = F.when(F.col(value).isNotNull(), w)
+    weights = f"CASE WHEN `{value}` IS NOT NULL THEN `{weight}` END" if skip_null else f"`{weight}`"
+    products = f"`{value}` * `{weight}`"
     # A sum over NULL values only is 0, as a sum over nothing.
-    top = F.coalesce(F.sum(F.col(value) * w), F.lit(0))
-    return df.groupBy(*keys).agg(ratio(top, F.sum(w)).alias(name))
+    top = F.coalesce(F.expr(exact_sum(products)), F.lit(0.0))
+    added = prepared(df, [products]).groupBy(*keys)
+    return added.agg(ratio(top, F.sum(F.expr(weights))).alias(name))
 
 
 def with_composite(

@@ -21,15 +21,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import half_even
+from . import sums
 from .ordered import LINEAR, NEAREST, grouped_quantiles, key_struct, unpack
 
 # Names a spec may use instead of a predicate.
 ALIASES = {"pitches": "*", "swings": "swing", "bbe": "bbe"}
 
-# Means add up decimals, so that no order of addition shows and equal means are equal
-# bit by bit. Values have 12 decimal places and up to 16 digits before the point.
-EXACT = "DECIMAL(28, 12)"
-
 ADDITIVE = {"count", "rate", "mean", "sum", "max"}
 FROM_ROWS = {"distinct", "list", "quantile"}
 KINDS = ADDITIVE | FROM_ROWS | {"derived"}
@@ -211,14 +208,18 @@ class States:
         return self._count(m.n or present)
 
     def first_pass(self) -> list[Column]:
-        make = {
-            "count": "count_if({})", "sum": "sum({})", "max": "max({})",
-            "exact": f"sum(CAST(({{}}) AS {EXACT}))",
-        }
-        return [
-            F.expr("count(*)" if (fn, text) == ("count", "*") else make[fn].format(text)).alias(name)
-            for (fn, text), name in self._names.items()
-        ]
+        make = {"count": "count_if({})", "sum": "sum({})", "max": "max({})"}
+
+        def sql(fn: str, text: str) -> str:
+            if fn in sums.PARTS:
+                return sums.states(text)[fn]
+            return "count(*)" if (fn, text) == ("count", "*") else make[fn].format(text)
+
+        return [F.expr(sql(fn, text)).alias(name) for (fn, text), name in self._names.items()]
+
+    def prepared(self, df: DataFrame) -> DataFrame:
+        """``df`` with the columns that exact sums are taken of."""
+        return sums.prepared(df, [text for fn, text in self._names if fn == "whole"])
 
     def merge(self) -> list[Column]:
         return [
@@ -240,7 +241,9 @@ class States:
             return out
         if m.kind == "mean":
             n = self._n(replace(m, n=None))
-            out = [f"{scale}{_ratio(self._state('exact', m.measured), n)} AS `{m.name}`"]
+            value = f"nullif(CAST(({m.measured}) AS DOUBLE), CAST('NaN' AS DOUBLE))"
+            added = sums.total({part: self._state(part, value) for part in sums.PARTS})
+            out = [f"{scale}{_ratio(added, n)} AS `{m.name}`"]
         else:
             out = [f"{scale}{self._state('max', m.measured)} AS `{m.name}`"]
         if m.parts:
@@ -256,7 +259,7 @@ def partials(df: DataFrame, keys: Sequence[str], metrics: Sequence[Metric]) -> D
     """Additive states at the grain of ``keys``; input of :func:`roll_up`."""
     states = States(metrics)
     return (
-        df.groupBy(key_struct(keys))
+        states.prepared(df).groupBy(key_struct(keys))
         .agg(*states.first_pass())
         .select(*unpack(keys), *states.names)
     )
@@ -283,7 +286,7 @@ def aggregate(
     """
     states = States(metrics)
     if parts is None:
-        base = df.groupBy(key_struct(keys)).agg(*states.first_pass() or [F.count("*").alias("s")])
+        base = states.prepared(df).groupBy(key_struct(keys)).agg(*states.first_pass() or [F.count("*").alias("s")])
     else:
         base = parts.groupBy(key_struct(keys)).agg(*states.merge())
     wide = base.selectExpr("_g", *states.finals)

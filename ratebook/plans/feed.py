@@ -29,6 +29,7 @@ from ..operators.ordered import key_struct
 from ..operators.percentiles import percentile_table
 from ..operators.relational import ensure_columns, project
 from ..operators.staging import stage
+from ..operators.sums import exact_sum, prepared
 
 HITTER_KEYS = ["batter_mlbid", "hitter_name", "level_id", "hitting_code", "season"]
 PITCHER_KEYS = [
@@ -113,10 +114,11 @@ def mean_of_players(
 ) -> DataFrame:
     """Sums of volume columns, unweighted means of the others."""
     return (
-        table.groupBy(key_struct(keys))
+        prepared(table, [f"`{c}`" for c in means])
+        .groupBy(key_struct(keys))
         .agg(
             *[F.sum(f"`{c}`").alias(c) for c in sums],
-            *[F.avg(f"`{c}`").alias(c) for c in means],
+            *[F.expr(f"try_divide({exact_sum(f'`{c}`')}, CAST(count(`{c}`) AS DOUBLE))").alias(c) for c in means],
         )
         .select("_g.*", *[f"`{c}`" for c in [*sums, *means]])
     )
