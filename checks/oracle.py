@@ -354,6 +354,23 @@ def pitch_types_sql(rd: bool = True) -> str:
     return f"SELECT {TKEYS}, {', '.join(cols)} FROM pitch GROUP BY {TKEYS}"
 
 
+_GRAINS = ("((pitcher_mlbid, pitching_code, level_id, season), (pitching_code, level_id, season), (level_id, season))")
+_GRAIN = """CASE WHEN grouping(pitcher_mlbid) = 0 THEN 'player' WHEN grouping(pitching_code) = 0 THEN 'team' ELSE 'league' END AS grain,
+  pitcher_mlbid, pitching_code, level_id, season"""
+_PA_WITH_NULL = "(count(DISTINCT pa_id) + max(CASE WHEN pa_id IS NULL THEN 1 ELSE 0 END))::BIGINT"
+ORACLE["multi_grain_sets"] = f"""{WITH_PITCH}
+SELECT {_GRAIN}, count(*) AS pitches, {_PA_WITH_NULL} AS TBF, count(DISTINCT game_pk) AS games,
+  count(DISTINCT CASE WHEN swing THEN pa_id END) AS swung_PA,
+  {r(f'{_PA_WITH_NULL} / count(DISTINCT game_pk)::DOUBLE')} AS TBF_per_G, {r(exact('pitch_velo'))} AS velo,
+  coalesce(string_agg(DISTINCT pitch_tag, ', ' ORDER BY pitch_tag), '') AS tags
+FROM pitch GROUP BY GROUPING SETS {_GRAINS}"""
+_EV_UP = where("exit_velo", "launch_angle > 0")
+ORACLE["multi_grain_quantiles"] = f"""{WITH_PITCH}
+SELECT {_GRAIN}, {r(nearest('pitch_velo', 0.9))} AS velo_q90, {r('median(pitch_velo)')} AS velo_median,
+  {r(nearest(_EV_UP, 0.9))} AS exit_q90, {r('quantile_cont(stuff_raw, 0.1)')} AS stuff_q10
+FROM pitch GROUP BY GROUPING SETS {_GRAINS}
+HAVING count(pitch_velo) + count({_EV_UP}) + count(stuff_raw) > 0"""
+
 ORACLE["hitters"] = f"{WITH_PITCH} {hitters_sql()}"
 ORACLE["pitchers"] = f"{WITH_PITCH} {pitchers_sql()}"
 ORACLE["pitch_types"] = f"{WITH_PITCH} {pitch_types_sql()}"

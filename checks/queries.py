@@ -219,6 +219,35 @@ def multi_grain(spark, sf):
     return rounded(PR.multi_grain(obs(spark, sf), grains, OBS_METRICS))
 
 
+GRAINS = {"player": ["pitcher_mlbid", "pitching_code", "level_id", "season"], "team": ["pitching_code", "level_id", "season"], "league": ["level_id", "season"]}
+
+
+@query
+def multi_grain_sets(spark, sf):
+    """Additive metrics, distinct counts, lists and ratios of them at three grains from one scan."""
+    spec = [
+        M.count("pitches"),
+        M.distinct("TBF", "pa_id"),
+        M.distinct("games", "game_pk"),
+        M.distinct("swung_PA", "CASE WHEN swing THEN pa_id END", count_null=False),
+        M.derived("TBF_per_G", "try_divide(TBF, games)"),
+        M.mean("velo", "pitch_velo"),
+        M.sorted_list("tags", "pitch_tag", sep=", "),
+    ]
+    return rounded(PR.multi_grain(pitch(spark, sf), GRAINS, spec))
+
+
+@query
+def multi_grain_quantiles(spark, sf):
+    spec = [
+        M.quantile("velo_q90", "pitch_velo", 0.9),
+        M.quantile("velo_median", "pitch_velo", 0.5, interpolation="linear"),
+        M.quantile("exit_q90", "exit_velo", 0.9, "launch_angle > 0"),
+        M.quantile("stuff_q10", "stuff_raw", 0.1, interpolation="linear"),
+    ]
+    return rounded(PR.multi_grain_quantiles(pitch(spark, sf), GRAINS, spec))
+
+
 @query
 def tag_table_usage(spark, sf):
     table = M.aggregate(obs(spark, sf), ["entity_id", "season", "tag_src"], [M.count("pitches")])

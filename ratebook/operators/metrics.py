@@ -3,9 +3,10 @@
 A :class:`Metric` holds Spark SQL text. Additive metrics (rates, means, counts,
 sums, maxima) are split into *states* that are shared between metrics, computed
 in one hash aggregate with map-side combine, and can be rolled up from a finer
-grain. Distinct counts, sorted lists and exact quantiles need the rows; each
-kind reads only its own columns in a separate aggregate, and all results are
-keyed by the same struct ``g``, so putting them together needs no reshuffle.
+grain. Distinct counts and sorted lists share one pass over the rows, or are rolled up
+from the :func:`cells` of a finer grain; exact quantiles are a pass of their own, or are
+rolled up from :func:`histograms`. All results are keyed by the same struct ``g``, so
+putting them together needs no reshuffle.
 """
 
 from __future__ import annotations
@@ -22,14 +23,25 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import half_even
 from . import sums
-from .ordered import LINEAR, NEAREST, grouped_quantiles, key_struct, unpack
+from .ordered import (
+    LINEAR,
+    NEAREST,
+    compact,
+    grouped_quantiles,
+    key_struct,
+    long_values,
+    ordered,
+    quantile_points,
+    unpack,
+    wide_quantiles,
+)
 
 # Names a spec may use instead of a predicate.
 ALIASES = {"pitches": "*", "swings": "swing", "bbe": "bbe"}
 
 ADDITIVE = {"count", "rate", "mean", "sum", "max"}
-FROM_ROWS = {"distinct", "list", "quantile"}
-KINDS = ADDITIVE | FROM_ROWS | {"derived"}
+SETS = {"distinct", "list"}
+KINDS = ADDITIVE | SETS | {"quantile", "derived"}
 
 
 @dataclass(frozen=True)
@@ -265,10 +277,35 @@ def partials(df: DataFrame, keys: Sequence[str], metrics: Sequence[Metric]) -> D
     )
 
 
+def set_column(m: Metric) -> str:
+    """The column of :func:`cells` that holds the values of a distinct count or list."""
+    return "_d" + hashlib.md5(" ".join(m.measured.split()).encode()).hexdigest()[:12]
+
+
+def cells(df: DataFrame, keys: Sequence[str], metrics: Sequence[Metric]) -> DataFrame:
+    """Additive states by ``keys`` and by all values that are counted distinct or listed.
+
+    One hash aggregate over the rows; every coarser grain follows from its result, sets
+    too. Values stay rows: a fixed-size bitmap of 4 KB for each key and range of numbers
+    would outweigh the few values most keys have, and a hot key's values stay spread.
+    """
+    found = {set_column(m): m.measured for m in metrics if m.kind in SETS}
+    valued = df.selectExpr("*", *[f"{text} AS {name}" for name, text in found.items()])
+    return partials(valued, [*keys, *found], metrics)
+
+
 def roll_up(parts: DataFrame, keys: Sequence[str], metrics: Sequence[Metric]) -> DataFrame:
-    """Additive metrics at a coarser grain, without going back to the rows."""
+    """Metrics at a coarser grain, without going back to the rows.
+
+    From :func:`partials` the additive ones; from :func:`cells` distinct counts and
+    lists as well.
+    """
     states = States(metrics)
-    wide = parts.groupBy(key_struct(keys)).agg(*states.merge()).selectExpr("_g", *states.finals)
+    merged = states.merge() or [F.count("*").alias("s")]
+    wide = parts.groupBy(key_struct(keys)).agg(*merged).selectExpr("_g", *states.finals)
+    sets = [m for m in metrics if m.kind in SETS]
+    if sets:
+        wide = wide.join(_sets(parts, keys, [(m, F.col(set_column(m))) for m in sets]), "_g", "left")
     return _publish(_derive(wide, metrics), keys, metrics)
 
 
@@ -281,8 +318,8 @@ def aggregate(
     """All metrics per key combination, columns in spec order.
 
     With ``parts`` (from :func:`partials` over these metrics or more) the
-    additive metrics come from there; only distinct counts, lists and quantiles
-    read ``df``.
+    additive metrics come from there; only distinct counts and lists (all in one
+    pass) and quantiles read ``df``.
     """
     states = States(metrics)
     if parts is None:
@@ -290,12 +327,9 @@ def aggregate(
     else:
         base = parts.groupBy(key_struct(keys)).agg(*states.merge())
     wide = base.selectExpr("_g", *states.finals)
-    # Each distinct count and list reads its own columns of the rows once more.
-    for m in metrics:
-        if m.kind == "distinct":
-            wide = wide.join(_distinct(df, keys, m), "_g", "left")
-        elif m.kind == "list":
-            wide = wide.join(_list(df, keys, m), "_g", "left")
+    sets = [m for m in metrics if m.kind in SETS]
+    if sets:
+        wide = wide.join(_sets(df, keys, [(m, F.expr(m.measured)) for m in sets]), "_g", "left")
     for interpolation in (NEAREST, LINEAR):
         wanted = {
             m.name: (F.expr(m.measured), m.q)
@@ -308,26 +342,38 @@ def aggregate(
     return _publish(_derive(wide, metrics), keys, metrics)
 
 
-def _distinct(df: DataFrame, keys: Sequence[str], m: Metric) -> DataFrame:
-    """Exact distinct count; NULL is one more value when ``count_null``."""
-    values = F.count("d")
-    if m.count_null:
-        values = F.count("*")
-    return (
-        df.select(key_struct(keys), F.expr(m.measured).alias("d"))
-        .distinct()
-        .groupBy("_g")
-        .agg(values.alias(m.name))
-    )
+def _as_text(df: DataFrame, values: Sequence[Column]) -> list[Column]:
+    """Texts that are equal if and only if the values are."""
+    out = []
+    for value, kind in zip(values, df.select(*[v.alias(f"v{i}") for i, v in enumerate(values)]).dtypes):
+        if kind[1] in ("double", "float"):
+            value = F.when(value == 0, F.lit(0.0)).otherwise(value)
+        elif kind[1].startswith(("array", "struct", "map", "binary")):
+            value = F.to_json(F.struct(value.alias("v")))
+        out.append(value.cast("string"))
+    return out
 
 
-def _list(df: DataFrame, keys: Sequence[str], m: Metric) -> DataFrame:
-    return (
-        df.select(key_struct(keys), F.expr(m.measured).alias("d"))
-        .distinct()
-        .groupBy("_g")
-        .agg(F.array_join(F.sort_array(F.collect_list("d")), m.sep).alias(m.name))
-    )
+def _sets(df: DataFrame, keys: Sequence[str], wanted: Sequence[tuple[Metric, Column]]) -> DataFrame:
+    """Exact distinct counts and sorted lists of all ``wanted``, in one pass over ``df``.
+
+    Each (group, value) is one row after the map side's share of the work, dealt by
+    both, so a hot group is spread. NULL is one more value when ``count_null``.
+    """
+    texts = list(dict.fromkeys(set_column(m) for m, _ in wanted))
+    values = {set_column(m): c for m, c in wanted}
+    rows = df.select(
+        key_struct(keys), F.posexplode(F.array(*_as_text(df, [values[t] for t in texts]))).alias("at", "d")
+    ).distinct()
+    aggs = []
+    for m, _ in wanted:
+        here = F.col("at") == texts.index(set_column(m))
+        if m.kind == "list":
+            found = F.sort_array(F.collect_list(F.when(here, F.col("d"))))
+            aggs.append(F.array_join(found, m.sep).alias(m.name))
+        else:
+            aggs.append(F.count_if(here if m.count_null else here & F.col("d").isNotNull()).alias(m.name))
+    return rows.groupBy("_g").agg(*aggs)
 
 
 def _derive(wide: DataFrame, metrics: Sequence[Metric]) -> DataFrame:
@@ -351,6 +397,30 @@ def _publish(wide: DataFrame, keys: Sequence[str], metrics: Sequence[Metric]) ->
     return wide.select(*unpack(keys), *out)
 
 
+def histograms(df: DataFrame, keys: Sequence[str], metrics: Sequence[Metric]) -> DataFrame:
+    """keys, metric, value, cnt: how often each value occurs, for all quantile metrics.
+
+    One pass over the rows; merged upwards by :func:`roll_up_quantiles`. NULL is no value.
+    """
+    found = {m.name: F.expr(m.measured) for m in metrics if m.kind == "quantile"}
+    counts = compact(long_values(df, keys, found).where("value IS NOT NULL"))
+    return counts.select(*unpack(keys), "metric", "value", "cnt")
+
+
+def roll_up_quantiles(counts: DataFrame, keys: Sequence[str], metrics: Sequence[Metric]) -> DataFrame:
+    """Exact quantiles at a coarser grain from :func:`histograms`; groups without values have no row."""
+    merged = counts.groupBy(key_struct(keys), "metric", "value").agg(F.sum("cnt").alias("cnt"))
+    out = None
+    for interpolation in (NEAREST, LINEAR):
+        wanted = {m.name: m.q for m in metrics if m.kind == "quantile" and m.interpolation == interpolation}
+        if wanted:
+            rows = merged.where(F.col("metric").isin(list(wanted)))
+            table = wide_quantiles(quantile_points(ordered(rows), {n: [q] for n, q in wanted.items()}, interpolation), list(wanted))
+            out = table if out is None else out.join(table, "_g", "full")
+    names = [m.name for m in metrics if m.kind == "quantile"]
+    return out.select(*unpack(keys), *names)
+
+
 def round_floats(df: DataFrame, places: int = 1) -> DataFrame:
     """Half-even rounding of every float column."""
     return df.select(

@@ -12,7 +12,9 @@ cut every group into value buckets first:
 3. one row in :data:`ROWS_PER_SPLITTER` of the large groups, at most SPLITTERS rows
    in all, is chosen by the hash of (group, value) and gives a bucket edge. It is
    a uniform sample of their rows and a pure function of the data, so a
-   recomputed task sees the same edges;
+   recomputed task sees the same edges. So the number of edges grows with the
+   compacted rows and buckets keep their size up to SPLITTERS * ROWS_PER_SPLITTER
+   (268 million) of them; at 10^11 a bucket has about 1.5 million, still a small sort;
 4. bucket totals are summed per group; at most SPLITTERS + 2 rows per group;
 5. rows join their bucket's offset on (group, bucket), and only a bucket is ever
    sorted, about 1/SPLITTERS of the compacted rows.
@@ -30,7 +32,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SPLITTERS = 1024
+SPLITTERS = 1 << 16
 ROWS_PER_SPLITTER = 4096
 _KEY = ["_g", "metric", "bucket"]
 
@@ -132,7 +134,9 @@ def _with_below(joined: DataFrame) -> DataFrame:
 
 
 def compact(long: DataFrame) -> DataFrame:
-    """Count equal (g, metric, value) rows together."""
+    """Count equal (g, metric, value) rows together; rows with a ``cnt`` are so already."""
+    if "cnt" in long.columns:
+        return long
     return long.groupBy("_g", "metric", "value").agg(F.count("*").alias("cnt"))
 
 
@@ -271,10 +275,15 @@ def grouped_quantiles(
         {n: [q] for n, (_, q) in specs.items()},
         interpolation,
     )
+    return wide_quantiles(points, list(specs))
+
+
+def wide_quantiles(points: DataFrame, names: Sequence[str]) -> DataFrame:
+    """One row per group, a column per metric."""
     return points.groupBy("_g").agg(
         *[
             F.max(F.when(F.col("metric") == n, F.col("q")[0])).alias(n)
-            for n in specs
+            for n in names
         ]
     )
 

@@ -8,7 +8,17 @@ from pyspark.sql import functions as F
 from ..functions.domain import POSITIONS, pitch_tag, position_label
 from ..functions.scalar import real_code
 from ..operators.grades import apply_grades, grade_thresholds, with_composite
-from ..operators.metrics import Metric, aggregate, partials, roll_up
+from ..operators.metrics import (
+    ADDITIVE,
+    SETS,
+    Metric,
+    aggregate,
+    cells,
+    histograms,
+    partials,
+    roll_up,
+    roll_up_quantiles,
+)
 from ..operators.ordered import key_struct
 from ..operators.percentiles import percentile_table
 from ..operators.staging import stage
@@ -101,8 +111,17 @@ def pitching_partials(pitch: DataFrame, metrics: list[Metric] | None = None) ->
 
 
 def additive(metrics: list[Metric]) -> list[Metric]:
-    """The metrics a roll-up can produce, derived ones included if complete."""
-    names = {m.name for m in metrics if m.kind in ("count", "rate", "mean", "sum", "max")}
+    """The metrics a roll-up of partials can produce, derived ones included if complete."""
+    return _complete(metrics, ADDITIVE)
+
+
+def rolled_up(metrics: list[Metric]) -> list[Metric]:
+    """The metrics a roll-up of cells can produce, derived ones included if complete."""
+    return _complete(metrics, ADDITIVE | SETS)
+
+
+def _complete(metrics: list[Metric], kinds: set[str]) -> list[Metric]:
+    names = {m.name for m in metrics if m.kind in kinds}
     return [
         m
         for m in metrics
@@ -118,19 +137,36 @@ def _uses_only(m: Metric, names: set[str]) -> bool:
 
 
 def multi_grain(pitch: DataFrame, grains: dict[str, list[str]], metrics: list[Metric]) -> DataFrame:
-    """One scan, several grains: additive metrics rolled up from the finest.
+    """Several grains from one scan of the rows: all but quantiles, rolled up from the finest.
 
+    Distinct counts and lists add their values to the keys of the written cells, which
+    are read again for each grain in place of the rows; without them nothing is written.
     Result: ``grain`` name, all key columns (NULL where a grain lacks them) and
     the metrics.
     """
-    finest: list[str] = []
-    for keys in grains.values():
-        finest += [k for k in keys if k not in finest]
-    wanted = additive(metrics)
-    parts = partials(pitch, finest, wanted)
+    finest = _finest(grains)
+    wanted = rolled_up(metrics)
+    if any(m.kind in SETS for m in wanted):
+        parts = stage(cells(pitch, finest, wanted))
+    else:
+        parts = partials(pitch, finest, wanted)
+    return _stacked({name: roll_up(parts, keys, wanted) for name, keys in grains.items()})
+
+
+def multi_grain_quantiles(pitch: DataFrame, grains: dict[str, list[str]], metrics: list[Metric]) -> DataFrame:
+    """Exact quantiles at several grains from one scan: value counts of the finest, merged upwards."""
+    counts = stage(histograms(pitch, _finest(grains), metrics))
+    return _stacked({name: roll_up_quantiles(counts, keys, metrics) for name, keys in grains.items()})
+
+
+def _finest(grains: dict[str, list[str]]) -> list[str]:
+    return list(dict.fromkeys(k for keys in grains.values() for k in keys))
+
+
+def _stacked(tables: dict[str, DataFrame]) -> DataFrame:
     out: DataFrame | None = None
-    for name, keys in grains.items():
-        table = roll_up(parts, keys, wanted).withColumn("grain", F.lit(name))
+    for name, table in tables.items():
+        table = table.withColumn("grain", F.lit(name))
         out = table if out is None else out.unionByName(table, allowMissingColumns=True)
     return out
 
