@@ -38,7 +38,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ratebook.llm.blocks import Block, pack
+from ratebook.llm.blocks import Block, pack, planes, unplanes
 from ratebook.operators.staging import stage
 
 ORDER = 4
@@ -236,7 +236,8 @@ def _dump(rows: np.ndarray, counts: np.ndarray, langs: list[bytes], words: list[
     rows = rows.copy()
     rows[:, 1:] = np.where(rows[:, 1:] > 0, np.searchsorted(used, rows[:, 1:]) + 1, 0)
     named = b" ".join(words[w - 1] for w in used)
-    return zlib.compress(pickle.dumps((langs, named, automaton(rows, counts))), 1)
+    levels = [tuple(map(planes, level)) for level in automaton(rows, counts)]
+    return zlib.compress(pickle.dumps((langs, named, levels)), 1)
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -286,7 +287,8 @@ def _union(payloads: Iterator[bytes]) -> tuple[np.ndarray, np.ndarray, list[byte
     """Sorted different windows of several automata, their weights, and the names of labels."""
     loaded = []
     for raw in payloads:
-        langs, named, levels = pickle.loads(zlib.decompress(raw))
+        langs, named, packed_levels = pickle.loads(zlib.decompress(raw))
+        levels = [tuple(map(unplanes, level, (np.int32, np.int32, np.uint32))) for level in packed_levels]
         loaded.append((langs, named.split(b" ") if named else [], *paths(levels)))
     langs = sorted({x for part in loaded for x in part[0]})
     words = sorted({x for part in loaded for x in part[1]})
