@@ -1122,6 +1122,8 @@ ORACLE["training_filter"] = f"""{WITH_PITCH} SELECT season, pitch_group, count(*
 WHERE pitch_group IN ('FA', 'BR', 'OFF') AND pitch_velo >= 80 AND home_team <> 'H3' AND pitch_outcome <> 'X' AND strikes = 2
   AND ext IS NOT NULL AND inf_rpm IS NOT NULL GROUP BY ALL"""
 ORACLE["page"] = "SELECT c_custkey, c_name, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 50 OFFSET 100"
+ORACLE["page_deep"] = """SELECT o_orderkey, o_custkey, o_totalprice FROM orders
+ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 9980"""
 ORACLE["page_all"] = "SELECT c_custkey, c_name, c_acctbal FROM customer"
 ORACLE["distinct_options"] = f"""{WITH_OBS} SELECT DISTINCT CAST(season AS VARCHAR) AS "option" FROM obs
 UNION ALL SELECT DISTINCT team FROM obs WHERE team IS NOT NULL"""

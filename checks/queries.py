@@ -24,6 +24,7 @@ from ratebook.operators import similarity as SI
 from ratebook.operators import stability as ST
 from ratebook.operators.features import add_features, add_feed_features, pitch_group_from, read_sensors
 from ratebook.operators.ordered import LINEAR, NEAREST, grouped_quantiles, unpack
+from ratebook.operators.pages import page_index
 from ratebook.operators.staging import shared_folder, stage
 from ratebook.plans import boards as B
 from ratebook.plans import feed as FEED
@@ -1111,6 +1112,13 @@ def page(spark, sf):
     return FL.page(c, [F.col("c_acctbal").desc(), F.col("c_custkey")], 50, 3)
 
 
+@query
+def page_deep(spark, sf):
+    """Page 500 of the orders, by value."""
+    o = load(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    return page_index(o, [F.col("o_totalprice").desc(), F.col("o_orderkey")], 2000).page(500, 20)
+
+
 @query
 def page_all(spark, sf):
     c = load(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal")
