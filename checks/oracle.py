@@ -40,19 +40,20 @@ def where(value: str, pred: str | None) -> str:
 def exact(v: str, pred: str | None = None) -> str:
     """A mean of an exact sum: parts of 24 bits added as whole doubles, carries settled at the end."""
     v = where(v, pred)
-    m = f"(CASE WHEN abs({v}) < 16777216 AND (abs({v}) >= 9.5367431640625e-7 OR {v} = 0) THEN {v} ELSE 0e0 END)"
+    m = f"(CASE WHEN abs({v}) < 1125899906842624 AND (abs({v}) >= 9.5367431640625e-7 OR {v} = 0) THEN {v} ELSE 0e0 END)"
     fine = f"(({m} - trunc({m})) * 281474976710656e0)"
     high = f"trunc(trunc({fine}) / 16777216e0)"
-    l0, l1 = f"sum(trunc({m}))", f"sum({high})"
+    above = f"trunc(trunc({m}) / 16777216e0)"
+    top, l0, l1 = f"sum({above})", f"sum(trunc({m}) - {above} * 16777216e0)", f"sum({high})"
     l2, l3 = f"sum(trunc({fine}) - {high} * 16777216e0)", f"sum(trunc(({fine} - trunc({fine})) * 16777216e0))"
     s2 = f"({l2} + floor({l3} / 16777216e0))"
     s1 = f"({l1} + floor({s2} / 16777216e0))"
     s0 = f"({l0} + floor({s1} / 16777216e0))"
-    rest = [f"({s} - floor({s} / 16777216e0) * 16777216e0)" for s in (l3, s2, s1)]
+    st = f"({top} + floor({s0} / 16777216e0))"
+    rest = [f"({s} - floor({s} / 16777216e0) * 16777216e0)" for s in (l3, s2, s1, s0)]
     beyond = f"coalesce(sum({v}) FILTER (WHERE {v} <> {m}), 0e0)"
-    added = (
-        f"({rest[0]} * {2.0**-72!r} + {rest[1]} * {2.0**-48!r} + {rest[2]} * {2.0**-24!r} + {s0} + {beyond})"
-    )
+    parts = f"{{'a': {st} * 16777216e0 + {rest[3]}, 'b': {rest[2]} * {2.0**-24!r} + {rest[1]} * {2.0**-48!r}, 'r': {rest[0]} * {2.0**-72!r}}}"
+    added = f"(list_transform([{parts}], lambda v: v.a + v.b + ((v.b - ((v.a + v.b) - v.a)) + v.r))[1] + {beyond})"
     return f"({added} / nullif(count({v}), 0))"
 
 

@@ -43,7 +43,7 @@ def test_mean_over_the_whole_range(spark, values, want):
 
 def test_sum_is_the_nearest_double_in_any_order_and_at_any_grain(spark):
     r = random.Random(4)
-    values = [r.choice([r.uniform(-1, 1), r.uniform(0, 1e-5), r.uniform(-1e7, 1e7), 0.1, -0.3]) for _ in range(4000)]
+    values = [r.choice([r.uniform(-1, 1), r.uniform(0, 1e-5), r.uniform(-1e7, 1e7), r.uniform(-1e15, 1e15), 0.1, -0.3]) for _ in range(4000)]
     values = [v for v in values if abs(v) >= sums.LEAST]
     seen = set()
     for _ in range(3):
