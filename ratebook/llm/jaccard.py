@@ -5,12 +5,14 @@ text). In each run a set chooses the shingles whose seeded hash is below
 1 / (similarity * size), 1 / similarity of them on average; sets that choose one
 shingle share a bucket. Two sets at the similarity share a bucket of a run with
 probability of at least 1 - 1/e, and runs are repeated until the target recall. A
-large bucket is split again by further chosen shingles of its members; buckets of sets that
-are alike on average, and what stays large, are compared in blocks. Small buckets are brute-forced: minwise sketches first,
-then the shingle sets themselves.
-
-A pair is counted in the first bucket that its two sets share, so counts add up and
-no pair is ever written out; a bucket gives each set its number of links and the
+large bucket is split again by further chosen shingles of its members; what stays large is
+compared in blocks. Large buckets of sets that are alike on average cannot be parted: near
+copies meet in most of their buckets. Those that share sets become one crowd, whose sets
+are compared once, in blocks, instead of once in each bucket. Small buckets are brute-forced:
+minwise sketches first, then the shingle sets themselves.
+
+A pair is counted in the first bucket that its two sets share, a crowd before all others,
+so counts add up and no pair is ever written out; a bucket gives each set its number of links and the
 least set of its connected part.
 
 Equal texts are one set with a weight. Defined results: a NULL text or one without
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -264,6 +267,20 @@ def _alike(rows: DataFrame, sets: DataFrame) -> DataFrame:
     return equal.groupBy("key").agg(mean.alias("mean")).where("mean >= 0.5").select("key")
 
 
+def _crowds(rows: DataFrame) -> DataFrame:
+    """(vid, key, size): one bucket for all sets that buckets of alike sets connect.
+
+    Its key is negative, below the keys of all other buckets. Each set has one row,
+    however many of the buckets it was in.
+    """
+    first = rows.groupBy("key").agg(F.min("vid").alias("first"))
+    edges = rows.join(first, "key").select(F.col("vid").alias("u"), F.col("first").alias("v"))
+    roots = components(edges).select(F.col("u").alias("vid"), F.col("v").alias("root"))
+    named = rows.select("vid").distinct().join(roots, "vid", "left")
+    told = named.select("vid", (-1 - F.coalesce("root", "vid")).alias("key"))
+    return told.join(told.groupBy("key").agg(F.count("*").alias("size")), "key").select("vid", "key", "size")
+
+
 def buckets(docs: DataFrame, sets: DataFrame) -> DataFrame:
     """(vid, key, size): the buckets of at least two sets, large ones split by further paths."""
 
@@ -271,18 +288,22 @@ def buckets(docs: DataFrame, sets: DataFrame) -> DataFrame:
         counts = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
         return stage(rows.join(counts, "key").select("vid", "key", "size"))
 
+    def named(leaves: DataFrame, alike: list[DataFrame]) -> DataFrame:
+        # one bit less leaves the negative keys to crowds
+        leaves = leaves.select("vid", F.shiftrightunsigned("key", 1).alias("key"), "size")
+        return leaves.unionByName(_crowds(stage(reduce(DataFrame.unionByName, alike)))) if alike else leaves
+
     rows = sized(sets.select("vid", F.explode("keys").alias("key")))
-    leaves = rows.where(F.col("size") <= BUCKET)
+    leaves, crowded = rows.where(F.col("size") <= BUCKET), []
     for _ in range(DEPTH):
         large = rows.where(F.col("size") > BUCKET)
         if large.isEmpty():
-            return leaves
+            return named(leaves, crowded)
         alike = small(stage(_alike(large, sets)))
-        leaves = leaves.unionByName(large.join(alike, "key", "left_semi"))
+        crowded.append(large.join(alike, "key", "left_semi"))
         large = large.join(alike, "key", "left_anti")
         rows = large
-        named = large.select("vid", "key").join(sets.select("vid", "tk"), "vid")
-        texts = stage_texts(_texts_of(docs, named))
+        texts = stage_texts(_texts_of(docs, large.select("vid", "key").join(sets.select("vid", "tk"), "vid")))
 
         def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
@@ -292,7 +313,7 @@ def buckets(docs: DataFrame, sets: DataFrame) -> DataFrame:
         parted = large.select("vid", "key").join(texts, "vid").mapInPandas(split, "vid long, key long")
         rows = sized(stage_texts(parted).distinct())
         leaves = leaves.unionByName(rows.where(F.col("size") <= BUCKET))
-    return leaves.unionByName(rows.where(F.col("size") > BUCKET))
+    return named(leaves.unionByName(rows.where(F.col("size") > BUCKET)), crowded)
 
 
 def tied_texts(docs: DataFrame, recall: float = 0.999999) -> tuple[DataFrame, DataFrame]:

@@ -185,6 +185,43 @@ def test_near_duplicates(spark, monkeypatch):
     assert cut(jaccard.near_duplicates(docs)) == want
 
 
+def crowd_rows(copies):
+    """Near copies of two texts, edited more and less, and texts of their own."""
+    rows = []
+    for g, size in ((0, copies), (1, copies // 2)):
+        base = words(500 + g, 150).split()
+        for c in range(size):
+            copy, r = list(base), random.Random(1000 * g + c)
+            for _ in range(c % 6):
+                copy[r.randrange(len(copy))] = f"changed{r.randrange(40)}"
+            rows.append((1000 * g + c, " ".join(copy)))
+    return rows + [(5000 + k, words(900 + k, 80)) for k in range(20)]
+
+
+def test_crowds_of_near_copies(spark, monkeypatch):
+    rows = crowd_rows(90)
+    monkeypatch.setattr(jaccard, "BUCKET", 16)
+    got = jaccard.near_duplicates(table(spark, [(i, t, None, None) for i, t in rows]))
+    cut = sorted(map(tuple, got.select("doc_id", "class_id", "n_links").collect()), key=str)
+    assert cut == brute_links(rows)
+
+
+def test_a_crowd_holds_a_set_once(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BUCKET", 16)
+    in_crowds = []
+    whole = jaccard._crowds
+
+    def crowds(found):
+        in_crowds.append(whole(found))
+        return in_crowds[-1]
+
+    monkeypatch.setattr(jaccard, "_crowds", crowds)
+    rows = crowd_rows(90)
+    jaccard.near_duplicates(table(spark, [(i, t, None, None) for i, t in rows])).count()
+    held = [r["vid"] for r in in_crowds[0].collect()]
+    assert 90 <= len(held) == len(set(held)) and in_crowds[0].select("key").distinct().count() == 2
+
+
 def test_no_near_duplicates(spark, empty):
     assert jaccard.near_duplicates(empty).count() == 0
 
