@@ -13,10 +13,14 @@ own nearest neighbours. Every vector is indexed; a list of any size is split int
 blocks, none is cut.
 
 Defined results: vectors that are NULL, empty, zero or hold NULL or non-finite
-components, have a NULL id, or another length than the most frequent one take no
-part; rows with the query's id are its own and no candidates; equal vectors are
-candidates each, ties go to the smaller id; with fewer candidates than asked all
-are returned; no vectors give no rows; further columns are ignored.
+components, or have a NULL id, take no part. Vectors of different lengths have no
+distance: each length is an index of its own, and a query is held against the
+vectors of its length. Rows with the query's id are its own and no candidates; an id
+that several queries have asks once, with its shortest vector, the least of these.
+Equal vectors are candidates each, ties go to the smaller id; with fewer candidates
+than asked all are returned; no vectors give no rows; further columns are ignored.
+Distances are measured on the components as given: only the rotated columns, which
+propose candidates, are of single precision.
 """
 
 from __future__ import annotations
@@ -38,14 +42,13 @@ PIECE = 128  # vectors scanned before radii are renewed
 
 
 def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """(id, vec): the vectors that take part."""
+    """(id, vec): the vectors that take part, single components kept as they are, others as double."""
     v = F.col(vector)
+    kind = "array<float>" if dict(df.dtypes)[vector] == "array<float>" else "array<double>"
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = df.select(F.col(key).cast("long").alias("id"), v.cast("array<float>").alias("vec")).where(
+    return df.select(F.col(key).cast("long").alias("id"), v.cast(kind).alias("vec")).where(
         F.col(key).isNotNull() & (F.size(v) > 0) & fine & F.exists(v, lambda x: x != 0)
     )
-    most = rows.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    return rows.where(F.size("vec") == (most["n"] if most else 0))
 
 
 def _distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -87,9 +90,14 @@ def rotation(dims: int, seed: int = 5) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
+def _exact(rows: DataFrame) -> str:
+    """The numpy type that holds the components as given."""
+    return "float32" if dict(rows.dtypes)["vec"] == "array<float>" else "float64"
+
+
 def build(rows: DataFrame, centroids: np.ndarray) -> DataFrame:
     """The index: one row per block, (list, ids, vectors, columns), written."""
-    turn = rotation(centroids.shape[1])
+    turn, exact = rotation(centroids.shape[1]), _exact(rows)
 
     @F.pandas_udf("int")
     def nearest(vec: pd.Series) -> pd.Series:
@@ -107,7 +115,7 @@ def build(rows: DataFrame, centroids: np.ndarray) -> DataFrame:
             out = []
             for where, rows in zip(frame["list"], frame["rows"]):
                 ids = np.array([r["id"] for r in rows], np.int64)
-                x = np.stack([r["vec"] for r in rows]).astype(np.float32)
+                x = np.stack([r["vec"] for r in rows]).astype(exact)
                 turned = (x.astype(np.float64) @ turn).astype(np.float32)
                 groups = [turned[:, i : i + COLUMNS].tobytes() for i in range(0, x.shape[1], COLUMNS)]
                 out.append((where, ids.tobytes(), x.tobytes(), groups))
@@ -175,7 +183,7 @@ def search(
 ) -> DataFrame:
     """The k nearest of each query (id, vec), ranked from 1."""
     lists, dims = centroids.shape
-    turn = rotation(dims)
+    turn, exact = rotation(dims), _exact(queries)
 
     def probe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -189,7 +197,7 @@ def search(
                         "vec": [v for v in part["vec"] for _ in range(top.shape[1])],
                     })
 
-    asked = queries.mapInPandas(probe, "list int, id long, vec array<float>")
+    asked = queries.mapInPandas(probe, f"list int, id long, vec {dict(queries.dtypes)['vec']}")
     sizes = stage(asked.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("batches")))
     batches = (
         asked.join(F.broadcast(sizes), "list")
@@ -211,7 +219,7 @@ def search(
                 best = Best(np.array([r["id"] for r in asked], np.int64), q, q @ turn, k)
                 best.load(known)
                 own = np.frombuffer(ids, np.int64)
-                x = np.frombuffer(vectors, np.float32).reshape(len(own), dims)
+                x = np.frombuffer(vectors, exact).reshape(len(own), dims)
                 best.scan(own, x, [np.frombuffer(c, np.float32).reshape(len(own), -1) for c in groups], slack)
                 best.save(known)
                 if len(known) > KNOWN:
@@ -232,13 +240,18 @@ def neighbours(
     sample: int = 20_000, recall: float = 0.97,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest rows of ``df``."""
-    rows = stage(usable(df, key, vector))
-    centroids, probes = fit(rows, k, sample, recall)
-    if not probes:
-        none = "query_id long, rank int, vec_id long, score double"
-        return df.sparkSession.createDataFrame([], none)
-    asked = usable(queries, key, vector).where(F.size("vec") == centroids.shape[1])
-    asked = asked.groupBy("id").agg(F.min("vec").alias("vec"))
-    return search(build(rows, centroids), asked, centroids, probes, k).select(
-        "query_id", "rank", "vec_id", "score"
-    )
+    rows, asked = usable(df, key, vector), usable(queries, key, vector)
+    if _exact(rows) != _exact(asked):
+        rows, asked = (t.withColumn("vec", F.col("vec").cast("array<double>")) for t in (rows, asked))
+    rows = stage(rows)
+    least = F.min(F.struct(F.size("vec").alias("n"), "vec")).alias("least")
+    asked = stage(asked.groupBy("id").agg(least).select("id", "least.vec"))
+    found = df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for length in sorted(r["n"] for r in asked.select(F.size("vec").alias("n")).distinct().collect()):
+        mine = rows.where(F.size("vec") == length)
+        centroids, probes = fit(mine, k, sample, recall)
+        if probes:
+            told = asked.where(F.size("vec") == length)
+            best = search(build(mine, centroids), told, centroids, probes, k)
+            found = found.unionByName(best.select("query_id", "rank", "vec_id", "score"))
+    return found

@@ -298,6 +298,28 @@ def test_neighbours(spark):
     assert [g["vec_id"] for g in sorted(got, key=lambda g: g["rank"]) if g["query_id"] == 100] == list(range(40, 50))
 
 
+def test_neighbours_in_double_precision(spark):
+    rows = [(0, [0.0, 3.0]), (1, [1.0000000002, 3.0]), (2, [1.0000000001, 3.0]), (3, [5.0, 5.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.neighbours(df, df.where("vec_id = 0")).orderBy("rank").collect()
+    assert [(r["rank"], r["vec_id"], r["score"]) for r in got] == [
+        (1, 2, 1.0000000001), (2, 1, 1.0000000002), (3, 3, math.sqrt(29.0)),
+    ]
+
+
+def test_neighbours_of_each_length(spark):
+    rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [4.0, 0.0]), (100, [1.0, 1.0, 1.0]), (101, [1.0, 1.0, 3.0])]
+    rows += [(200, [9.0]), (0, [7.0, 7.0, 7.0, 7.0]), (3, [7.0, 7.0, 7.0, 8.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = neighbours.neighbours(df, df.where("vec_id % 100 = 0")).orderBy("query_id", "rank").collect()
+    want = [(0, 1, 1, 1.0), (0, 2, 2, 3.0), (100, 1, 101, 2.0)]
+    assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got] == want
+    # queries in double precision against vectors in single precision
+    asked = spark.createDataFrame([(100, [1.0, 0.5])], "vec_id long, embedding array<double>")
+    got = neighbours.neighbours(df, asked).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(0, 0.5), (1, math.sqrt(1.25)), (2, math.sqrt(9.25))]
+
+
 def test_few_or_no_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0], 0), (1, [1.0, 3.0], 0), (2, [4.0, 2.0], 0)], VEC)
     got = neighbours.neighbours(df, df.where("vec_id = 0")).select("rank", "vec_id", "score").collect()
