@@ -1069,7 +1069,10 @@ SELECT entity_name AS "Name", season AS "Season", level_id AS "Level", n AS "N",
 _PLAIN = {"hitter_name", "hitting_code", "season", "PA", "bbe", "name", "pitching_code", "TBF", "pitches", "pitch_tag", "level_id"}
 
 
-def board_sql(name: str, src: str, cond: str, plain: bool = False) -> str:
+_ABSENT = {"Zone", "Zone_reg", "stuff_z"}  # in the published lists, in none of the tables here
+
+
+def board_sql(name: str, src: str, cond: str, plain: bool = False, absent: set[str] = _ABSENT) -> str:
     preset = BOARDS[name]
 
     def shown(c: str) -> str:
@@ -1078,7 +1081,7 @@ def board_sql(name: str, src: str, cond: str, plain: bool = False) -> str:
             return r(f"round_even({c}, 0)")
         return source if plain or c in _PLAIN else r(c)
 
-    cols = ", ".join(f'{shown(c)} AS "{preset.names.get(c, c)}"' for c in preset.columns if c != "Zone" and c != "stuff_z")
+    cols = ", ".join(f'{shown(c)} AS "{preset.names.get(c, c)}"' for c in preset.columns if c not in absent)
     return f"SELECT {cols} FROM {src} WHERE level_id IN (1, 11, 14, 16) AND {cond}"
 
 
@@ -1104,6 +1107,38 @@ reg AS (SELECT s.batter_mlbid, s.hitter_name, s.level_id, s.season, {', '.join(_
   FROM s LEFT JOIN lgb USING (season, level_id) GROUP BY ALL),
 joined AS (SELECT h.*, reg.* EXCLUDE ({HKEYS}) FROM h LEFT JOIN reg USING ({HKEYS}))"""
 ORACLE["board_hitters_regressed"] = f"{_WITH_REG} " + board_sql("hitters_regressed", "joined", "level_id = 1 AND PA >= 20")
+for _board, _by, _code, _grade, _cond in (
+    ("team_pitching", "pitching_code, level_id, season", "pitching_code", "g2", "level_id = 1 AND IP >= 2"),
+    ("league_pitching", "level_id, season", None, "g3", "TRUE"),
+):
+    ORACLE[f"board_{_board}"] = f"""{_G2}, plain AS ({group_pitching_sql(_by, _code, False)}),
+t AS (SELECT plain.*, {_grade}.stuff FROM plain LEFT JOIN {_grade} USING ({_by}))
+{board_sql(_board, "t", _cond, absent={*_ABSENT, "BB_rpm"})}"""
+
+
+def _beside(table: str, keys: str, other: str, wanted: list[str], as_rows: str) -> str:
+    """Columns of another query's rows beside a graded table's, by NULL-safe keys."""
+    same = " AND ".join(f"x.{k} IS NOT DISTINCT FROM o.{k}" for k in keys.split(", "))
+    columns = ", ".join(f"o.{c}" for c in wanted)
+    return f"{_G2}, other AS ({other}), {as_rows} AS (SELECT x.*, {columns} FROM {table} x LEFT JOIN other o ON {same})"
+
+
+def _shown(name: str, end: str) -> list[str]:
+    return [c for c in BOARDS[name].columns if c.endswith(end) and c not in _ABSENT]
+
+
+ORACLE["board_pitcher_pctiles"] = _beside(
+    "arms", PKEYS, ORACLE["pitcher_pctiles"], _shown("pitcher_pctiles", "_pctile"), "t"
+) + board_sql("pitcher_pctiles", "t", "IP >= 2", True)
+ORACLE["board_pitch_type_pctiles"] = _beside(
+    "ty", TKEYS, ORACLE["pitch_type_pctiles"], _shown("pitch_type_pctiles", "_pctile"), "t"
+) + board_sql("pitch_type_pctiles", "t", "level_id = 1 AND pitch_tag IN ('FA', 'SL')")
+ORACLE["board_pitchers_regressed"] = _beside(
+    "arms", PKEYS, ORACLE["regressed_pitchers_from_table"], _shown("pitchers_regressed", "_reg"), "t"
+) + board_sql("pitchers_regressed", "t", "level_id = 1 AND IP >= 2")
+ORACLE["board_pitch_types_regressed"] = _beside(
+    "ty", TKEYS, ORACLE["regressed_pitch_types_from_table"], _shown("pitch_types_regressed", "_reg"), "t"
+) + board_sql("pitch_types_regressed", "t", "level_id = 1 AND pitch_tag IN ('FA', 'SL') AND pitches >= 5")
 ORACLE["hitter_comparisons"] = f"""{_WITH_REG}, pool AS (SELECT * FROM joined WHERE level_id = 1 AND PA >= 20),
 target AS (SELECT * FROM joined WHERE level_id = 1 AND PA >= 5 AND season = 1996 AND hitter_name = 'B Supplier#000000001')
 {comps_sql(HITTER_FEATURES, 'hitter_name')} SELECT hitter_name, season, {r('distance')} AS distance,

@@ -1040,6 +1040,50 @@ def board_hitters_regressed(spark, sf):
     return rounded(B.board(_hitters_with_reg(spark, sf), B.BOARDS["hitters_regressed"], "MLB", minimum=("PA", 20)))
 
 
+@query
+def board_team_pitching(spark, sf):
+    table = PR.graded_pitching(pitch(spark, sf), 10, 5)["team_pitching"]
+    return rounded(B.board(table, B.BOARDS["team_pitching"], "MLB", minimum=("IP", 2)))
+
+
+@query
+def board_league_pitching(spark, sf):
+    table = PR.graded_pitching(pitch(spark, sf), 10, 5)["league_pitching"]
+    return rounded(B.board(table, B.BOARDS["league_pitching"]))
+
+
+@query
+def board_pitcher_pctiles(spark, sf):
+    table = stage(PR.graded_pitching(pitch(spark, sf), 10, 5)["pitchers"])
+    return B.board(PR.pitcher_percentiles(table, min_ip=2), B.BOARDS["pitcher_pctiles"], minimum=("IP", 2))
+
+
+@query
+def board_pitch_type_pctiles(spark, sf):
+    table = stage(PR.graded_pitching(pitch(spark, sf), 10, 5)["pitch_types"])
+    ranked = PR.pitch_type_percentiles(table, min_pitches=5)
+    return rounded(B.board(ranked, B.BOARDS["pitch_type_pctiles"], "MLB", {"pitch_tag": ["FA", "SL"]}))
+
+
+def _arms_with_reg(spark, sf, dataset, keys):
+    df = pitch(spark, sf)
+    table = stage(PR.graded_pitching(df, 10, 5)[dataset])
+    wide = RG.regress_table(table, _constants_of(df, dataset), dataset, keys, places=None)
+    return R.merge_regressed(table, wide, keys)
+
+
+@query
+def board_pitchers_regressed(spark, sf):
+    table = _arms_with_reg(spark, sf, "pitchers", S.PITCHER_KEYS)
+    return rounded(B.board(table, B.BOARDS["pitchers_regressed"], "MLB", minimum=("IP", 2)))
+
+
+@query
+def board_pitch_types_regressed(spark, sf):
+    table = _arms_with_reg(spark, sf, "pitch_types", S.PITCH_TYPE_KEYS)
+    return rounded(B.board(table, B.BOARDS["pitch_types_regressed"], "MLB", {"pitch_tag": ["FA", "SL"]}, ("pitches", 5)))
+
+
 @query
 def hitter_comparisons(spark, sf):
     out = B.hitter_comparisons(stage(_hitters_with_reg(spark, sf)), "B Supplier#000000001", 1996, 20, 5)
