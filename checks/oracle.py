@@ -739,6 +739,38 @@ kk AS (SELECT pl.level_id, median(pl.n * (1 - var_between / (var_between + vw))
 c AS (SELECT gb.*, K, {_POINTS} FROM gb JOIN kk USING (level_id) WHERE n_players >= 10)
 SELECT level_id, n_players, {items([(c, c) for c in _MC])} FROM c"""
 
+
+def quantile_law_sql(src, keys, value, q, cond=None, min_n=20):
+    """CTEs up to qpl(keys, val, n, vw): each pair of order statistics with its chance."""
+    # A resample's r-th and next smallest: tails of the binomial, pairs i < j by products.
+    log = "lgamma(n + 1) - lgamma({m} + 1) - lgamma(n - {m} + 1)"
+    tail = f"list_sum([exp({log.format(m='m')} + m * ln({{0}} / n::DOUBLE) + (n - m) * ln(1 - {{0}} / n::DOUBLE)) for m in range(r, n + 1)])"
+    upto = f"CASE WHEN upto = n THEN 1e0 ELSE {tail.format('upto')} END"
+    below = f"CASE WHEN upto = c THEN 0e0 ELSE {tail.format('(upto - c)')} END"
+    return f"""qd AS (SELECT {keys}, {value} AS v, count(*) AS c FROM {src} WHERE {value} IS NOT NULL{f' AND ({cond})' if cond else ''} GROUP BY ALL),
+qk AS (SELECT *, CAST(sum(c) OVER (PARTITION BY {keys} ORDER BY v) AS BIGINT) AS upto, CAST(sum(c) OVER (PARTITION BY {keys}) AS BIGINT) AS n FROM qd),
+qr AS (SELECT *, CAST(floor({q!r}e0 * (n - 1)) AS BIGINT) + 1 AS r, {q!r}e0 * (n - 1) - floor({q!r}e0 * (n - 1)) AS p FROM qk WHERE n >= {min_n}),
+qc AS (SELECT *, min(CASE WHEN upto >= r THEN v END) OVER (PARTITION BY {keys}) AS low,
+  min(CASE WHEN upto >= least(r + 1, n) THEN v END) OVER (PARTITION BY {keys}) AS high FROM qr),
+qm AS (SELECT *, v - low AS x, {upto} - {below} AS mass,
+  exp({log.format(m='r')}) * (pow(upto / n::DOUBLE, r) - pow((upto - c) / n::DOUBLE, r)) AS alpha,
+  pow(1 - (upto - c) / n::DOUBLE, n - r) - pow(1 - upto / n::DOUBLE, n - r) AS beta,
+  pow(1 - upto / n::DOUBLE, n - r) AS beyond FROM qc),
+qs AS (SELECT {keys}, x AS s, mass - alpha * beyond AS w FROM qm
+  UNION ALL SELECT {', '.join(f'i.{k}' for k in keys.split(', '))}, i.x + i.p * (j.x - i.x), i.alpha * j.beta
+  FROM qm i JOIN qm j ON {' AND '.join(f'i.{k} IS NOT DISTINCT FROM j.{k}' for k in keys.split(', '))} AND i.v < j.v),
+qv AS (SELECT {keys}, sum(w * s * s) - pow(sum(w * s), 2) AS vw FROM qs GROUP BY ALL),
+qpl AS (SELECT {', '.join(f'm.{k}' for k in keys.split(', '))}, max(m.n) AS n, max(m.low + (m.high - m.low) * m.p) AS val, max(qv.vw) AS vw
+  FROM qm m JOIN qv ON {' AND '.join(f'm.{k} IS NOT DISTINCT FROM qv.{k}' for k in keys.split(', '))} GROUP BY ALL)"""
+
+
+ORACLE["quantile_constants_boot"] = f"""{WITH_OBS}, {quantile_law_sql('obs', ENT, 'v2', 0.9)},
+gr AS (SELECT level_id, count(*) AS n_players, avg(val) AS mu, var_samp(val) AS var_obs, avg(vw) AS var_within FROM qpl GROUP BY ALL),
+gb AS (SELECT *, CASE WHEN var_obs IS NOT NULL THEN greatest(1e-8, var_obs - var_within) END AS var_between FROM gr),
+kk AS (SELECT level_id, median(n * vw / var_between) AS K FROM qpl JOIN gb USING (level_id) GROUP BY ALL),
+c AS (SELECT gb.*, K, {_POINTS} FROM gb JOIN kk USING (level_id) WHERE n_players >= 10)
+SELECT level_id, n_players, {', '.join(f'{sig(c) if c in WIDE_RANGE else r(c, 3)} AS {c}' for c in _MC)} FROM c"""
+
 _REG_HIT_RATES = [
     ("pull_FB_pct", "launch_angle >= 20 AND spray_angle_adj < -15", "bbe"),
     ("chase", f"swing AND {OUTZ}", OUTZ),
@@ -902,6 +934,41 @@ UNION ALL SELECT 'pitch_types', NULL, pitcher_mlbid, season, level_id, pitch_tag
 
 ORACLE["constants_pitchers"] = f"""{WITH_PITCH}, c AS ({_ARM5})
 SELECT dataset, kind, level_id, stat, n_players, {items([(c, c) for c in _ALLC])} FROM c"""
+
+
+def max_law_sql(src, keys, value, cond=None, min_n=20):
+    """CTEs up to qpl(keys, val, n, vw): each value's chance to be a resample's maximum."""
+    return f"""qd AS (SELECT {keys}, {value} AS v, count(*) AS c FROM {src} WHERE {value} IS NOT NULL{f' AND ({cond})' if cond else ''} GROUP BY ALL),
+qk AS (SELECT *, sum(c) OVER (PARTITION BY {keys} ORDER BY v) AS upto, sum(c) OVER (PARTITION BY {keys}) AS n,
+  max(v) OVER (PARTITION BY {keys}) AS top FROM qd),
+qm AS (SELECT *, pow(upto / n::DOUBLE, n) - pow((upto - c) / n::DOUBLE, n) AS p FROM qk WHERE n >= {min_n}),
+qpl AS (SELECT {keys}, max(v) AS val, max(n) AS n, sum(p * (v - top) * (v - top)) - pow(sum(p * (v - top)), 2) AS vw FROM qm GROUP BY ALL)"""
+
+
+def resampled_sql(dataset, stat, kind, law, by, min_players):
+    same = " AND ".join(f"q.{k} IS NOT DISTINCT FROM g.{k}" for k in by.split(", "))
+    own = ", ".join(f"g.{k}" for k in by.split(", "))
+    return f"""SELECT '{dataset}' AS dataset, '{kind}' AS kind, {by}, '{stat}' AS stat, n_players, mu, var_obs, var_within,
+  CAST(NULL AS DOUBLE) AS var_true, var_between, K, {_POINTS} FROM (
+  WITH {law}, gr AS (SELECT {by}, count(*) AS n_players, avg(val) AS mu, var_samp(val) AS var_obs, avg(vw) AS var_within FROM qpl GROUP BY ALL),
+  g AS (SELECT *, CASE WHEN var_obs IS NOT NULL THEN greatest(1e-8, var_obs - var_within) END AS var_between FROM gr WHERE n_players >= {min_players})
+  SELECT g.*, kk.K FROM g JOIN (SELECT {own}, median(q.n * q.vw / g.var_between) AS K FROM qpl q JOIN g ON {same} GROUP BY ALL) kk
+    ON {same.replace("q.", "kk.")})"""
+
+
+_SEASON = "season, level_id"
+_PER_SEASON = [
+    constants_sql("hitters", "pitch", _HK, _SEASON, _REG_HIT_RATES, _REG_HIT_MEANS, 5, 3),
+    constants_sql("pitchers", "pitch", _AK, _SEASON, _REG_ARM_RATES, _REG_ARM_MEANS, 5, 3),
+    constants_sql("pitch_types", "pitch", _TK, _SEASON + ", pitch_tag", _REG_OUT, _REG_TYPE_MEANS, 5, 3),
+    resampled_sql("hitters", "EV90th", "quantile", quantile_law_sql("pitch", _HK, "exit_velo", 0.9, "bbe", 5), _SEASON, 3),
+    resampled_sql("hitters", "max_EV", "max", max_law_sql("pitch", _HK, "exit_velo", "bbe", 5), _SEASON, 3),
+    resampled_sql("pitchers", "max_velo", "max", max_law_sql("pitch", _AK, "pitch_velo", None, 5), _SEASON, 3),
+    resampled_sql("pitch_types", "max_velo", "max", max_law_sql("pitch", _TK, "pitch_velo", None, 5), _SEASON + ", pitch_tag", 3),
+]
+ORACLE["all_constants_by_season"] = f"""{WITH_PITCH}, c AS ({" UNION ALL BY NAME ".join(f"SELECT * FROM ({q})" for q in _PER_SEASON)})
+SELECT dataset, kind, season, level_id, pitch_tag, stat, n_players, {items([(c, c) for c in _ALLC])} FROM c"""
+
 _PCTARM = "x.stat = 'pWhiff'"
 _p, _cols = _wide([n for n, *_ in _REG_ARM_RATES], [n for n, *_ in _REG_ARM_MEANS] + ["max_velo"])
 ORACLE["regressed_pitchers"] = f"""{WITH_PITCH}, s AS ({shrunk(_ARM_CELLS, _ARM5, _ON, _PCTARM)}),
@@ -1173,6 +1240,13 @@ ORACLE["score_probability"] = f"""{WITH_PITCH} SELECT {_ROW},
   {r('1 / (1 + exp(-(-1 + 0.02e0 * coalesce(pitch_velo, 0) - 0.5e0 * x_adj + 0.03e0 * vbreak)))')} AS p FROM feat"""
 ORACLE["score_subset"] = f"""WITH raw AS ({PITCH_RAW}) SELECT {_ROW},
   {r('CASE WHEN is_in_play THEN 5 + 0.9e0 * coalesce(exit_velo, 0) + 0.1e0 * coalesce(launch_angle, 0) END')} AS damage FROM raw"""
+_HOME = "CASE coalesce(home_team, 'unknown') WHEN 'H1' THEN 0.2e0 WHEN 'H2' THEN -0.2e0 WHEN 'unknown' THEN 0.7e0 ELSE 0 END"
+_GROUP = "CASE coalesce(pi_pitch_group, 'unknown') WHEN 'FA' THEN 0.4e0 WHEN 'CU' THEN -0.6e0 WHEN 'unknown' THEN -0.9e0 ELSE 0 END"
+_LOGIT = f"-3 + 0.02e0 * coalesce(pitch_velo, 86) - 0.3e0 * vaa + 5 * 0.02e0 + 0.1e0 * coalesce(ext, 0) + {_HOME} + {_GROUP} + 0.15e0"
+ORACLE["score_table_class"] = f"""WITH raw AS ({PITCH_RAW}) SELECT {_ROW}, {r(f'1 / (1 + exp(-({_LOGIT})))')} AS p FROM raw"""
+_DAMAGED = """CASE WHEN exit_velo IS NULL OR exit_velo < 95 THEN 0.1e0 WHEN coalesce(launch_angle, 12) < 8 THEN 0.3e0 ELSE 0.9e0 END
+  + CASE WHEN pi_pitch_group IS NULL OR pi_pitch_group = 'SL' THEN -0.05e0 WHEN batter_hand = 'L' THEN 0.02e0 ELSE 0e0 END"""
+ORACLE["score_table_trees"] = f"""WITH raw AS ({PITCH_RAW}) SELECT {_ROW}, {r(_DAMAGED)} AS damage FROM raw"""
 ORACLE["residual_adjust"] = f"""WITH raw AS ({PITCH_RAW}) SELECT {_ROW},
   {r('vaa - (-2 + 0.5e0 * z - 0.04e0 * coalesce(pitch_velo, 0))')} AS loc_adj_vaa FROM raw"""
 ORACLE["signed_value"] = f"""{WITH_PITCH} SELECT batter_mlbid, season,
@@ -1218,3 +1292,8 @@ ORACLE["fact_round_trip"] = """SELECT CAST(year(l_shipdate) AS BIGINT) AS season
   CASE WHEN l_linestatus = 'F' THEN 1 ELSE 11 END AS level_id, 'R' AS game_type, l_orderkey, l_linenumber, l_extendedprice
 FROM lineitem"""
 ORACLE["snapshot_newest"] = "SELECT o_orderkey, o_totalprice, 2025 AS taken FROM orders"
+ORACLE["missing_source"] = """SELECT o_orderkey, o_orderstatus, CAST(NULL AS VARCHAR) AS note, CAST(NULL AS DOUBLE) AS weight
+FROM orders"""
+ORACLE["sample_sink"] = """SELECT 'all' AS sample, count(*) AS rows FROM customer
+UNION ALL SELECT 'first', least(count(*), 1000) FROM customer UNION ALL SELECT 'none', 0"""
+ORACLE["empty_input"] = ORACLE["entity_rates"]

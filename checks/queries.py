@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ratebook.functions import domain as D
 from ratebook.functions.scalar import finite_or, glue, ratio, recode
+from ratebook.operators import compiled as CM
 from ratebook.operators import context as C
 from ratebook.operators import filters as FL
 from ratebook.operators import grades as G
@@ -484,8 +485,9 @@ def max_constants_exact(spark, sf):
 
 @query
 def quantile_constants_boot(spark, sf):
-    players = ST.quantile_resampling_variance(obs(spark, sf), ENTITY, F.col("v2"), 0.9, 200, 20)
-    return rounded(ST.resampled_constants(players, ["level_id"]))
+    players = ST.quantile_resampling_law(obs(spark, sf), ENTITY, F.col("v2"), 0.9, 20)
+    # Variances near 5e7: three places are eleven digits.
+    return rounded(ST.resampled_constants(players, ["level_id"]), 3)
 
 
 @query
@@ -1209,6 +1211,47 @@ def score_subset(spark, sf):
     return rounded(df.select(*ROW, "damage"))
 
 
+# Categories with NULLs (home_team, pi_pitch_group), one no table has (mood), levels without
+# a weight; a numeric feature with a median, one without, one that is no column.
+CLASS_TABLE = CM.TableModel(
+    features=["pitch_velo", "vaa", "spin_efficiency", "ext", "home_team", "pi_pitch_group", "mood"],
+    categorical=["home_team", "pi_pitch_group", "mood"],
+    weights={"pitch_velo": 0.02, "vaa": -0.3, "spin_efficiency": 5.0, "ext": 0.1},
+    levels={
+        "home_team": {"H1": 0.2, "H2": -0.2, "unknown": 0.7},
+        "pi_pitch_group": {"FA": 0.4, "CU": -0.6, "unknown": -0.9},
+        "mood": {"unknown": 0.15},
+    },
+    medians={"pitch_velo": 86.0, "spin_efficiency": 0.02},
+    intercept=-3.0,
+    link="logistic",
+)
+TREE_TABLE = CM.TableModel(
+    features=["exit_velo", "launch_angle", "batter_hand", "pi_pitch_group"],
+    categorical=["batter_hand", "pi_pitch_group"],
+    trees=[
+        {"feature": "exit_velo", "below": 95.0, "yes": {"value": 0.1}, "no": {
+            "feature": "launch_angle", "below": 8.0, "yes": {"value": 0.3}, "no": {"value": 0.9}}},
+        {"feature": "pi_pitch_group", "in": ["SL", "unknown"], "yes": {"value": -0.05}, "no": {
+            "feature": "batter_hand", "in": ["L"], "yes": {"value": 0.02}, "no": {"value": 0.0}}},
+    ],
+    medians={"launch_angle": 12.0},
+)
+
+
+@query
+def score_table_class(spark, sf):
+    """A logistic table with its own feature list, unknown and missing categories."""
+    df = pitch_raw(spark, sf)
+    return rounded(df.select(*ROW, CM.compiled(df, CLASS_TABLE).alias("p")))
+
+
+@query
+def score_table_trees(spark, sf):
+    df = pitch_raw(spark, sf)
+    return rounded(df.select(*ROW, CM.compiled(df, TREE_TABLE).alias("damage")))
+
+
 @query
 def residual_adjust(spark, sf):
     df = SC.location_adjusted(pitch_raw(spark, sf), RESIDUAL_MODEL)
@@ -1304,3 +1347,34 @@ def snapshot_newest(spark, sf):
         df = load(spark, sf, "orders").select("o_orderkey", "o_totalprice", F.lit(year).alias("taken"))
         df.write.parquet(f"{root}/orders_{year}.parquet")
     return T.preferred_or_newest(spark, f"{root}/none.parquet", f"{root}/orders_*.parquet")
+
+
+@query
+def missing_source(spark, sf):
+    """Orders beside a table whose files are missing: its columns are there, without values."""
+    notes = T.read_or_empty(spark, f"{_folder(spark)}/notes.csv", "o_orderkey long, note string, weight double")
+    o = load(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    return o.join(notes, "o_orderkey", "left")
+
+
+@query
+def sample_sink(spark, sf):
+    """Row counts of written samples: all rows, the first thousand, none."""
+    counts = []
+    for name, rows in (("all", -1), ("first", 1000), ("none", 0)):
+        path = _folder(spark)
+        T.write_csv(T.sample_rows(load(spark, sf, "customer").select("c_custkey", "c_name"), rows), path)
+        back = T.read_or_empty(spark, path, "c_custkey long, c_name string")
+        # Every sampled row is a row of the table.
+        real = back.join(load(spark, sf, "customer").select("c_custkey", "c_name"), ["c_custkey", "c_name"], "semi")
+        counts.append(real.agg(F.lit(name).alias("sample"), F.count("*").alias("rows")))
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
+@query
+def empty_input(spark, sf):
+    """Tables of no rows keep their columns and types and add nothing to a union."""
+    df = obs(spark, sf)
+    none = df.filter(F.lit(False))
+    some = M.aggregate(df, ENTITY, OBS_METRICS).unionByName(M.aggregate(none, ENTITY, OBS_METRICS))
+    return rounded(some)

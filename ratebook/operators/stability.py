@@ -13,8 +13,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalar import ratio
+from .beta import at_most as _at_most
 from .metrics import Metric
 from .ordered import (
     grouped_quantiles,
@@ -266,6 +268,80 @@ def quantile_resampling_variance(
     )
 
 
+@F.pandas_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in ("a", "b", "step")]))
+def _order_law(n: pd.Series, r: pd.Series, below: pd.Series, upto: pd.Series) -> pd.DataFrame:
+    """Chances that a resample's r-th and next smallest lie at positions (below, upto].
+
+    ``step`` is the chance that exactly r draws lie at or before ``upto``.
+    """
+    size, rank = n.to_numpy("float64"), r.to_numpy("float64")
+    low, low_step = _at_most(below.to_numpy("float64"), size, rank)
+    high, step = _at_most(upto.to_numpy("float64"), size, rank)
+    return pd.DataFrame({"a": high - low, "b": (high - step) - (low - low_step), "step": step})
+
+
+def quantile_resampling_law(
+    df: DataFrame, keys: Sequence[str], value: Column, q: float, min_n: int = 20
+) -> DataFrame:
+    """keys, value, n, var_within: exact bootstrap variance of the linear quantile.
+
+    With a and b the r-th and next smallest of a resample and p the part between them,
+    the statistic s has s^2 = (1-p) a^2 + p b^2 - p (1-p) (b-a)^2. The masses of a and b
+    are differences of regularised incomplete beta values. (b-a)^2 is a sum over pairs of
+    gaps k <= l of the sorted values, both inside with chance
+    C(n,r) (k/n)^r (1-l/n)^(n-r): a product, so one fold along the values adds it up.
+
+    Only values within 10 standard deviations plus 40 positions of r are kept; less than
+    1e-15 of the mass lies outside. An entity of n rows so hands on at most about
+    20 sqrt(n q (1-q)) + 80 values. No random numbers are used.
+    """
+    long = long_values(df, keys, {"v": value}).filter("value IS NOT NULL")
+    near = "10 * sqrt(r * (n - r + 1D) / n) + 40"
+    rows = (
+        ordered(long)
+        .ranks()
+        .filter(F.col("n") >= min_n)
+        .selectExpr(
+            "_g", "n", f"CAST(floor({q!r}D * (n - 1)) AS BIGINT) + 1 AS r",
+            "CAST(value AS DOUBLE) AS value", "below", "below + cnt AS upto",
+        )
+        .filter(f"upto >= r - ({near}) AND below <= r + ({near})")
+        .withColumn("law", _order_law("n", "r", "below", "upto"))
+        .selectExpr("_g", "n", "r", "struct(value, below, upto, law.a, law.b, law.step) AS row")
+        .groupBy("_g", "n", "r")
+        .agg(F.sort_array(F.collect_list("row")).alias("rows"))
+    )
+    gaps = """aggregate(slice(rows, 2, size(rows)),
+      named_struct('value', rows[0].value, 'upto', rows[0].upto, 'step', rows[0].step, 'run', 0D, 'square', 0D),
+      (s, x) -> named_struct('value', x.value, 'upto', x.upto, 'step', x.step,
+        'run', pow(s.upto / x.upto, r) * (s.run + x.value - s.value),
+        'square', s.square + s.step * (x.value - s.value) * (x.value - s.value + 2D * s.run)),
+      s -> s.square)"""
+
+    def moment(mass: str, power: int) -> str:
+        gap = " * ".join(["(x.value - low)"] * power)
+        return f"aggregate(rows, 0D, (s, x) -> s + x.{mass} * {gap})"
+
+    def mixed(power: int) -> str:
+        return f"(1 - part) * {moment('a', power)} + part * {moment('b', power)}"
+
+    return (
+        rows.selectExpr(
+            "*", f"{q!r}D * (n - 1) - floor({q!r}D * (n - 1)) AS part",
+            "filter(rows, x -> x.upto >= r)[0].value AS low",
+            "filter(rows, x -> x.upto >= least(r + 1, n))[0].value AS high",
+            f"{gaps} AS square",
+        )
+        .selectExpr("*", f"{mixed(1)} AS m1", f"{mixed(2)} - part * (1 - part) * square AS m2")
+        .select(
+            *unpack(keys),
+            F.expr("low + (high - low) * part").alias("value"),
+            "n",
+            F.expr("greatest(m2 - m1 * m1, 0D)").alias("var_within"),
+        )
+    )
+
+
 def resampled_constants(
     players: DataFrame, context: Sequence[str], min_players: int = 10
 ) -> DataFrame:
@@ -311,7 +387,7 @@ def constants_for(
     """All constants of one dataset, one row per (context, stat).
 
     Rates and means take one scan each for all statistics. Maxima and quantiles
-    are resampled, and only when ``bootstrap_iters`` is positive.
+    follow the exact law of a resample, and only when ``bootstrap_iters`` is positive.
     """
     frames = []
     if any(m.kind == "rate" for m in metrics):
@@ -328,7 +404,7 @@ def constants_for(
         if m.kind == "max":
             players = max_resampling_variance(df, keys, value, min_denom)
         else:
-            players = quantile_resampling_variance(df, keys, value, m.q, bootstrap_iters, min_denom)
+            players = quantile_resampling_law(df, keys, value, m.q, min_denom)
         frames.append(
             resampled_constants(players, context, min_players)
             .withColumn("stat", F.lit(m.name))

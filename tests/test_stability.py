@@ -1,11 +1,14 @@
 """Resampling laws against plain resampling, and constants against numpy."""
 
+from math import comb
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from ratebook.operators import metrics as M
 from ratebook.operators import stability as ST
+from ratebook.operators.beta import at_most
 from ratebook.operators.shrink import with_constants
 
 
@@ -42,6 +45,37 @@ def test_quantile_law_matches_resampling(spark):
         assert r["var_within"] == pytest.approx(got[r["id"]]["var_within"], rel=1e-9)
 
 
+def test_exact_quantile_law(spark):
+    ties = [np.array([1.0] * 19 + [5.0] * 11), np.full(25, 3.0), np.arange(20.0) ** 2]
+    arrays = [*ARRAYS, *ties]
+    rng = np.random.default_rng(3)
+    for q in (0.0, 0.1, 0.5, 0.9, 1.0):
+        rows = ST.quantile_resampling_law(values(spark, arrays), ["id"], F.col("v"), q).collect()
+        got = {r["id"]: r for r in rows}
+        assert len(rows) == len(arrays)
+        for i, a in enumerate(arrays):
+            draws = np.quantile(rng.choice(a, (20000, len(a))), q, axis=1)
+            assert got[i]["value"] == pytest.approx(np.quantile(a, q)) and got[i]["n"] == len(a)
+            assert got[i]["var_within"] == pytest.approx(draws.var(ddof=1), rel=0.12, abs=2e-2)
+
+
+def test_order_law_against_whole_number_sums():
+    for n in (1, 2, 20, 61):
+        for r in {1, (n + 1) // 2, n}:
+            least, exact = at_most(np.arange(n + 1.0), np.full(n + 1, float(n)), np.full(n + 1, float(r)))
+            for k in range(n + 1):
+                chances = [comb(n, m) * k**m * (n - k) ** (n - m) / n**n for m in range(n + 1)]
+                assert least[k] == pytest.approx(sum(chances[r:]), rel=1e-11, abs=1e-15)
+                assert exact[k] == pytest.approx(chances[r], rel=1e-11, abs=1e-15)
+
+
+def test_order_law_of_a_large_group():
+    n, r = 1e7, 9e6
+    step = np.sqrt(r * (n - r) / n)
+    least, _ = at_most(r + step * np.array([-12.0, 0.0, 12.0]), np.full(3, n), np.full(3, r))
+    assert least[0] < 1e-15 and least[1] == pytest.approx(0.5, abs=1e-3) and 1 - least[2] < 1e-15
+
+
 def test_small_entities_are_left_out(spark):
     df = values(spark, [np.arange(19.0), np.arange(20.0)])
     assert [r["id"] for r in ST.max_resampling_variance(df, ["id"], F.col("v")).collect()] == [1]
