@@ -1297,3 +1297,9 @@ FROM orders"""
 ORACLE["sample_sink"] = """SELECT 'all' AS sample, count(*) AS rows FROM customer
 UNION ALL SELECT 'first', least(count(*), 1000) FROM customer UNION ALL SELECT 'none', 0"""
 ORACLE["empty_input"] = ORACLE["entity_rates"]
+ORACLE["publish_replaced"] = f"""{WITH_PITCH}, fixed AS (
+  SELECT * EXCLUDE (pitch_velo), CASE WHEN season = 1996 THEN pitch_velo + 1 ELSE pitch_velo END AS pitch_velo
+  FROM pitch WHERE season IS DISTINCT FROM 1996 OR pitch_of_ab <> 1)
+SELECT {_GRAIN}, count(*) AS pitches, {_PA_WITH_NULL} AS TBF, count(DISTINCT game_pk) AS games, {r(exact('pitch_velo'))} AS velo,
+  {r('max(pitch_velo)')} AS top_velo, {r(nearest('pitch_velo', 0.9))} AS velo_q90
+FROM fixed GROUP BY GROUPING SETS {_GRAINS}"""

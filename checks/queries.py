@@ -32,6 +32,7 @@ from ratebook.plans import feed as FEED
 from ratebook.plans import products as PR
 from ratebook.plans import regress as RG
 from ratebook.plans import specs as S
+from ratebook.plans.states import KeptStates
 from ratebook.sources import tables as T
 from ratebook.sources.tables import regular_season
 
@@ -1378,3 +1379,24 @@ def empty_input(spark, sf):
     none = df.filter(F.lit(False))
     some = M.aggregate(df, ENTITY, OBS_METRICS).unionByName(M.aggregate(none, ENTITY, OBS_METRICS))
     return rounded(some)
+
+
+@query
+def publish_replaced(spark, sf):
+    """Publish from kept states, replace one season by corrected rows, publish and read again."""
+    spec = [
+        M.count("pitches"),
+        M.distinct("TBF", "pa_id"),
+        M.distinct("games", "game_pk"),
+        M.mean("velo", "pitch_velo"),
+        M.maximum("top_velo", "pitch_velo"),
+        M.quantile("velo_q90", "pitch_velo", 0.9),
+    ]
+    root, facts = _folder(spark), pitch(spark, sf)
+    states = KeptStates(f"{root}/states", "season", GRAINS, spec)
+    states.replace(facts)
+    T.publish(states.tables(spark), f"{root}/tables")
+    corrected = facts.filter("season = 1996 AND pitch_of_ab <> 1").withColumn("pitch_velo", F.col("pitch_velo") + 1)
+    states.replace(corrected)
+    T.publish(states.tables(spark), f"{root}/tables")
+    return rounded(PR._stacked({n: T.read_parquet(spark, f"{root}/tables/{n}") for n in GRAINS}))
