@@ -1065,6 +1065,38 @@ ORACLE["sensor_ladder"] = f"""SELECT l_orderkey, l_linenumber, l_partkey,
   {r('CASE WHEN l_tax < 0.03::DOUBLE THEN l_tax WHEN l_tax < 0.06::DOUBLE THEN l_discount ELSE l_quantity END')} AS x,
   {r('CASE WHEN l_tax < 0.02::DOUBLE THEN l_tax WHEN l_tax < 0.05::DOUBLE THEN 60.5 - l_quantity WHEN l_tax < 0.07::DOUBLE THEN 60.5 - l_discount END')} AS ext
 FROM lineitem"""
+# Output and its sources, best first; "-" in front: 60.5 less the source.
+_SENSORS = """x px_corr px_adj px_orig
+z pz_corr pz_adj pz_orig
+haa x_angle_plate_adj x_angle_plate_corr
+vaa z_angle_plate_adj z_angle_plate_corr
+pitch_velo start_speed_55_corr start_speed_55_adj start_speed_orig
+end_velo end_speed_orig end_speed_adj end_speed_corr
+plate_time plate_time_orig
+x_angle_release x_angle_release_adj x_angle_release_corr
+z_angle_release z_angle_release_adj z_angle_release_corr
+ext extension_orig -y_release_adj -y_release_corr
+rpm obs_spin_rate_orig obs_spin_rate_corr
+inf_rpm inf_spin_rate_corr inf_spin_rate_adj inf_spin_rate_orig
+pfx_x_short pfx_x_corr pfx_x_adj
+pfx_z_short pfx_z_corr pfx_z_adj
+x55 x55_corr x55_adj
+z55 z55_corr z55_adj
+release_x x_release_corr x_release_adj
+release_z z_release_corr z_release_adj
+axis obs_spin_axis_orig obs_spin_axis_corr
+inf_axis inf_spin_axis_corr inf_spin_axis_adj inf_spin_axis_orig
+ax ax_adj ax_corr
+ay ay_adj ay_corr
+az az_adj az_corr"""
+_RUNGS = {words[0]: words[1:] for words in map(str.split, _SENSORS.splitlines())}
+_PLACE = {n: i for i, n in enumerate(sorted({s.lstrip("-") for rungs in _RUNGS.values() for s in rungs}))}
+_MADE = ", ".join(f"CASE WHEN (l_partkey + {3 * i}) % 5 >= 2 THEN l_quantity + {i} * l_discount END AS {n}" for n, i in _PLACE.items())
+_READ = ", ".join(
+    f"{r('coalesce(' + ', '.join('60.5e0 - ' + s[1:] if s[0] == '-' else s for s in rungs) + ')')} AS {n}" for n, rungs in _RUNGS.items()
+)
+ORACLE["sensor_ladder_shipped"] = f"""WITH made AS (SELECT l_orderkey, l_linenumber, l_partkey, {_MADE} FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, {_READ} FROM made"""
 ORACLE["date_lenient"] = """SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN CAST(o_orderdate AS DATE) END AS game_date FROM orders"""
 ORACLE["ensure_columns"] = """SELECT o_orderkey, o_orderstatus, CAST(NULL AS DOUBLE) AS decision_value,
   CAST(NULL AS BIGINT) AS damage FROM orders"""
